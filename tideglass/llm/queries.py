@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import mixing, quality, sharding, token_store, tokens, url_filter
+from tideglass.llm import mixing, quality, sharding, simhash, token_store, tokens, url_filter
 from tideglass.llm.common import table
 
 #: The rules of the url filter query (host, path, verdict).
@@ -38,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("base_failed", base[0].rejects | base[1].rejects).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.ring_shards(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_store, op4_url_filters, op6_quality_rules, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_store, op4_url_filters, op6_quality_rules, op8_simhash, op9_sharding, op10_mixing)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
