@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import mixing, quality, sharding, simhash, token_store, tokens, url_filter
+from tideglass.llm import license_scan, mixing, quality, sharding, simhash, token_store, tokens, toxicity, url_filter
 from tideglass.llm.common import table
 
 #: The rules of the url filter query (host, path, verdict).
@@ -18,6 +18,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.digest(license_scan.license_spans(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,6 +43,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("base_failed", base[0].rejects | base[1].rejects).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_store, op4_url_filters, op6_quality_rules, op8_simhash, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_token_store, op4_url_filters, op6_quality_rules, op7_toxicity, op8_simhash, op9_sharding, op10_mixing)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
