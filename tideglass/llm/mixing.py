@@ -34,19 +34,19 @@ def targets(sources: DataFrame, share: float, cap: int, weights: tuple[int, ...]
 
 
 def mix(df: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None) -> DataFrame:
-    """df with _size, _source_size, _target (of the row's source) and _taken (words the mix takes, repeats counted).
+    """_row (a struct of df's columns, whatever they are called), _size, _source_size, _target (of the row's source) and _taken
+    (words the mix takes, repeats counted).
 
     Sources share `share` times all words by weight; no target exceeds cap times its source. _taken of a source sums to its
     target, rounded; a source whose target is e times its size and some more takes every row e times, and the rows first in
     key order once more; the row at the cut gives only the words that are left. Null sources are one source, the last; null texts have no
     words; null ids have a key of their own; repeated rows are taken in the order of their ids and sizes, equal ones interchangeably. An empty
-    table gives no rows. Input columns called _source, _bucket, ... (a leading underscore) are the caller's to rename.
+    table gives no rows.
     """
     size = word_count(F.col("text")) if size is None else size
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    rows = df.withColumns({"_size": size, "_key": key}).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     src = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
-    rows = rows.withColumn("_src", src)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), size.alias("_size"), key.alias("_key"), src.alias("_src")).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     sums = checkpoint(rows.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_words")))
     sources = sums.groupBy("_src").agg(F.sum("_words").alias("source_size")).withColumn("_source", F.when(~F.col("_src.none"), F.col("_src.name"))).drop("_src")
     plan = targets(sources, share, cap, weights).withColumn("_budget", F.floor(F.col("target") + 0.5)).withColumn("_epochs", F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0)))
@@ -57,11 +57,11 @@ def mix(df: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...
     joined = rows.join(buckets, ["_src", "_bucket"])
     # All of a bucket lies on one side of the cut, but for one bucket of each source: only that is sorted.
     whole = joined.filter(~F.col("_cut")).withColumn("_more", F.when(F.col("_before") < F.col("_rest"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
-    order = Window.partitionBy("_src", "_bucket").orderBy("_key", id_col, "_size")
+    order = Window.partitionBy("_src", "_bucket").orderBy("_key", "_id", "_size")
     at = F.col("_before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     cut = joined.filter("_cut").withColumn("_more", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - at)).cast("long"))
     out = whole.unionByName(cut).withColumn("_taken", (F.col("_epochs") * F.col("_size") + F.col("_more")).cast("long"))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), "_size", "_source_size", "_target", "_taken")
+    return out.select("_row", "_size", "_source_size", "_target", "_taken")
 
 
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
@@ -70,4 +70,4 @@ def mixed_rows(df: DataFrame, **options) -> DataFrame:
     nothing and stay once."""
     taken = mix(df, **options)
     times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("_taken") + F.col("_size")) / (2 * F.col("_size"))))
-    return taken.withColumn("_times", times.cast("int")).filter("_times > 0").select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.expr("sequence(1, _times)")).alias("_epoch")).drop("_epoch")
+    return taken.withColumn("_times", times.cast("int")).filter("_times > 0").select("_row", F.explode(F.expr("sequence(1, _times)"))).select("_row.*")

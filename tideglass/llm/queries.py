@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm import license_scan, mixing, quality, sharding, simhash, token_store, tokens, toxicity, url_filter
+from tideglass.llm import decontamination, license_scan, mixing, quality, sharding, simhash, token_store, tokens, toxicity, url_filter
 from tideglass.llm.common import table
 
 #: The rules of the url filter query (host, path, verdict).
@@ -35,6 +35,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = quality.base_rules(F.col("n_words"), F.col("n_repeat_words"))
@@ -60,10 +64,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    return out.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_token_store, op4_url_filters, op6_quality_rules, op7_toxicity, op8_simhash, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_token_counts, op3_token_store, op4_url_filters, op5_decontamination, op6_quality_rules, op7_toxicity, op8_simhash, op9_sharding, op10_mixing)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

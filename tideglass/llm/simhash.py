@@ -31,6 +31,8 @@ SAMPLE = 2000
 BLOCK = 4096
 #: Cost of emitting one probe row, in verified pairs.
 PROBE_COST = 2000
+#: Most keys of dropped rows that are broadcast; beyond it, the join that drops them is shuffled.
+BROADCAST_KEYS = 2_000_000
 #: Signature length for similarity; the estimate's standard error at .8 is sqrt(.8 * .2 / 128) = .035.
 PERMUTATIONS = 128
 
@@ -75,7 +77,7 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(df: DataFrame, shingle: int, signatures: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _fp (the 64 bits as a signed long) and, if asked for, _sig of every row. Null and word-less texts have fingerprint 0."""
+    """_id, _key (hash of id and text), _fp (the 64 bits as a signed long) and, if asked for, _sig of every row. Null and word-less texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,10 +87,10 @@ def fingerprints(df: DataFrame, shingle: int, signatures: bool = False, id_col:
                 fps.append(fingerprint(h))
                 if signatures:
                     sigs.append(signature(h))
-            out = [batch.column("_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(sigs, pa.binary())] if signatures else []), ["_id", "_fp", "_sig"][: 2 + signatures])
+            out = [batch.column("_id"), batch.column("_key"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(out + ([pa.array(sigs, pa.binary())] if signatures else []), ["_id", "_key", "_fp", "_sig"][: 3 + signatures])
 
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, "_id long, _fp long" + ", _sig binary" * signatures)
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("text")).mapInArrow(run, "_id long, _key long, _fp long" + ", _sig binary" * signatures)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -320,6 +322,12 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, min_simila
     word-less texts have fingerprint 0 and link like others; repeated ids are told apart by their fingerprints; a null id is in the component of
     its text, and never names it unless all its ids are null. An empty table gives no rows; other columns are ignored.
     """
+    named = _named(df, shingle, radius, min_similarity, id_col, text_col)
+    return named.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(df: DataFrame, shingle: int, radius: int, min_similarity: float | None, id_col: str, text_col: str) -> DataFrame:
+    """_id, _key (hash of id and text), _fp, component_id and _c (the component's own number) of every row."""
     sig = min_similarity is not None
     key = ["_fp"] + ["_sig"] * sig
     rows = checkpoint(fingerprints(df, shingle, sig, id_col, text_col))
@@ -328,5 +336,17 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, min_simila
     found = components(links(nodes, radius, min_similarity))
     by_node = nodes.join(found, nodes._id == found.node, "left").select(*key, "_least", F.coalesce("component", "_id").alias("_c"))
     names = by_node.groupBy("_c").agg(F.min("_least").alias("component_id"))
-    named = by_node.join(names, "_c").select(*key, "component_id")
-    return rows.join(named, key).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = by_node.join(names, "_c").select(*key, "component_id", "_c")
+    return rows.join(named, key).select("_id", "_key", "_fp", "component_id", "_c")
+
+
+def one_of_each(df: DataFrame, shingle: int = 5, radius: int = 12, min_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component: that with the least id (null last). Of rows equal in id and text one stays."""
+    rows = checkpoint(_named(df, shingle, radius, min_similarity, id_col, text_col).select("_id", "_key", "_c"))
+    first = rows.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_first"))
+    lost = checkpoint(rows.join(first, "_c").filter("_key != _first").select("_key").distinct())
+    lost_keys = F.broadcast(lost) if lost.count() <= BROADCAST_KEYS else lost
+    kept = df.join(lost_keys, F.xxhash64(df[id_col], df[text_col]) == lost_keys["_key"], "left_anti")
+    if rows.groupBy("_key").count().filter("count > 1").join(lost, "_key", "left_anti").limit(1).count():
+        kept = kept.dropDuplicates([id_col, text_col])
+    return kept

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.llm.common import free_names
+
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 16
 #: Most labelled rows of each kind that the model is fitted on (first by a hash of their ids), and the longest text among them.
@@ -176,3 +178,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*fields, name])
 
     return docs.mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """docs without the rows whose score is at least `reject`."""
+    (name,) = free_names(docs.columns, "toxicity_score")
+    return score(docs, train(docs, labels, id_col, text_col), text_col, name).filter(F.col(name) < reject).drop(name)
