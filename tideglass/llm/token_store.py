@@ -83,7 +83,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens.encoder(tokenizer_path, spec.value, tokens.as_bytes), tokens.as_bytes([end_id])
+        encode, end = tokens.bytes_encoder(tokenizer_path, spec.value), tokens.as_bytes([end_id])
         part, chunk, first, docs, held, n_held = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def row():
@@ -92,8 +92,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, ARROW)], names=[f.name for f in ARROW_SCHEMA])
 
         for batch in tokens.by_bytes(batches, "text"):
-            for d, x in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist())):
-                data = b"".join(x) + end
+            for d, t in zip(batch.column("id").to_pylist(), batch.column("text")):
+                data = encode(t.as_py()) + end
                 docs.append((d, len(data) // 4))
                 held.append(data)
                 n_held += len(data) // 4

@@ -1,78 +1,119 @@
 """Token counts and ids with the tokenizers library, in Arrow functions.
 
-Texts are cut at safe boundaries: before a white-space character that follows a character which is not white space. A byte-level
-BPE pre-tokenizer ends a token there in any case, so the pieces' ids, joined, are the text's. Pieces repeat, so each Python worker
-keeps the ids of the pieces that it has seen, up to a fixed number; the library encodes the others in one batch.
+Texts are cut at safe boundaries: before a white-space character that follows a character which is not white space, and before ASCII
+punctuation that follows a Latin letter. A byte-level BPE pre-tokenizer ends a token there in any case, so the pieces' ids, joined, are
+the text's. Pieces repeat, so each Python worker keeps the ids of the pieces that it has seen, up to a fixed number;
+the library encodes the others.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes that are encoded at a time, and pieces that a worker keeps (of at most KEEP_CHARS characters each).
-BATCH_BYTES, KEEP, KEEP_CHARS = 4 << 20, 300_000, 48
-#: Rows of an Arrow batch are cut again to BATCH_BYTES.
-PIECE = re.compile(r"\s+\S+|\S+|\s+")
-#: Characters that Python takes for white space and others may not, or that are white space outside ASCII: there, cut only before ASCII
-#: white space.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Text bytes of a batch (Arrow batches are cut again to that), and words and pieces that a worker keeps of at most KEEP_CHARS characters.
+BATCH_BYTES, KEEP, KEEP_CHARS = 4 << 20, 500_000, 48
+#: Latin letters, and what may follow them where a piece ends. Letters' tokens end before ASCII punctuation too.
+LETTER, END = "A-Za-zÀ-ÖØ-öø-ʯ", r"\s!-/:-@\[-`{-~"
+PIECE = re.compile(rf"\s*+[^\s{LETTER}]*+[{LETTER}]++(?![^{END}])|\s*+[^\s{LETTER}]++(?!\S)|\s*\S+|\s+")
+#: Characters that Python takes for white space and others may not, or that are white space outside ASCII, and what may begin a special
+#: token: there, cut only before ASCII white space.
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
 SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 
 
 def pieces(text: str) -> list[str]:
-    return PIECE.findall(text) if ODD_SPACE.search(text) is None else SAFE.split(text)
+    return PIECE.findall(text) if ODD.search(text) is None else SAFE.split(text)
+
+
+class _Uneven(Exception):
+    """White space that is not one space between two words."""
+
+
+class _Memo(dict):
+    """What learn(key) gave, for the first `keep` short keys."""
+
+    def __init__(self, learn: Callable, keep: int):
+        self.learn, self.keep = learn, keep
+
+    def __missing__(self, key: str):
+        value = self.learn(key)
+        if len(self) < self.keep and len(key) <= KEEP_CHARS:
+            self[key] = value
+        return value
 
 
 class PieceEncoder:
-    """value(ids) of each piece of a batch of texts."""
+    """join([value(ids of a piece), ...]) of texts.
+
+    The first keys that a worker meets stay with it, so the frequent ones do. In a text with single spaces the words between them are looked
+    up first (all but the text's first with the space before them); what is not known is cut into pieces, and pieces that are not
+    known are encoded.
+    """
 
-    def __init__(self, spec: str, value: Callable, keep: int = KEEP):
+    def __init__(self, spec: str, value: Callable, join: Callable, keep: int = KEEP):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.value, self.keep, self.memo = Tokenizer.from_str(spec), value, keep, {}
+        self.tokenizer, self.value, self.join = Tokenizer.from_str(spec), value, join
+        self.pieces, self.words = _Memo(self._encode, keep), _Memo(self._word, keep)
+
+    def _encode(self, piece: str):
+        return self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-    def __call__(self, texts: list[str]) -> Iterator[list]:
-        cut = [pieces(t) for t in texts]
-        memo = self.memo
-        new = list({p for ps in cut for p in ps if p not in memo})
-        if len(memo) + len(new) > self.keep:
-            memo.clear()
-            new = list({p for ps in cut for p in ps})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memo[p] = self.value(e.ids)
-        for ps in cut:
-            yield [memo[p] for p in ps]
-        for p in new:
-            if len(p) > KEEP_CHARS:
-                memo.pop(p, None)
+    def _word(self, word: str):
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Uneven
+        return self.join(map(self.pieces.__getitem__, PIECE.findall(" " + word)))
+
+    def __call__(self, text: str):
+        if ODD.search(text) is None:
+            first, *rest = text.split(" ")
+            if first and not first[-1].isspace():
+                try:
+                    words = list(map(self.words.__getitem__, rest))
+                    return self.join([*map(self.pieces.__getitem__, PIECE.findall(first)), *words])
+                except _Uneven:
+                    pass
+            return self.join(map(self.pieces.__getitem__, PIECE.findall(text)))
+        return self.join(map(self.pieces.__getitem__, SAFE.split(text)))
 
 
 _encoders: dict = {}
 
 
-def encoder(key: str, spec: str, value: Callable) -> PieceEncoder:
+def encoder(key: str, spec: str, value: Callable, join: Callable) -> PieceEncoder:
     """The worker's encoder, kept between tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (key, value) not in _encoders:
-        _encoders[key, value] = PieceEncoder(spec, value)
+        _encoders[key, value] = PieceEncoder(spec, value, join)
     return _encoders[key, value]
 
 
 def as_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def length_encoder(key: str, spec: str) -> PieceEncoder:
+    return encoder(key, spec, len, sum)
+
+
+def bytes_encoder(key: str, spec: str) -> PieceEncoder:
+    return encoder(key, spec, as_bytes, b"".join)
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in batches whose texts sum to about `most` bytes; a longer text is a batch of its own."""
     for batch in batches:
-        sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
+        sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
         group = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
@@ -90,10 +131,10 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 512, id_col: s
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        count = encoder(tokenizer_path, spec.value, len)
+        count = length_encoder(tokenizer_path, spec.value)
         for batch in by_bytes(batches, "text"):
-            n = pa.array([sum(x) for x in count(batch.column("text").to_pylist())], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.compute.cast(pa.compute.binary_length(batch.column("text")), pa.int64()), n, pa.compute.greater(n, limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
+            n = pa.array([count(t.as_py()) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pc.cast(pc.binary_length(batch.column("text")), pa.int64()), n, pc.greater(n, limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
