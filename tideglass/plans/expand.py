@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _list(spark: SparkSession, name: str, values: list, kind: str = "string") -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+def _with(df: DataFrame, name: str, values: list, kind: str = "string") -> DataFrame:
+    """df with every value: an explode of literals, so a plan of any size is made from one row."""
+    return df.withColumn(name, F.explode(F.array(*(F.lit(v).cast(kind) for v in values))))
 
 
 def exp_id(extra: str = "extra"):
@@ -22,15 +23,14 @@ def expand_plan(spark: SparkSession, plan: dict) -> DataFrame:
     """plan: datasets, configs, algos, parallelism, repeats, and either `sensitivity` ({parameter: values}: one parameter at a time) or
     `configurations` (a list of parameter dicts). Rows: dataset, config, algo, parallelism, run, extra, exp_id."""
     if "sensitivity" in plan:
-        pairs = spark.createDataFrame([(plan["sensitivity"],)], "m map<string,array<string>>").select(F.explode("m").alias("k", "vs")).select(F.concat("k", F.lit("="), F.explode("vs")).alias("extra"))
+        extras = [f"{k}={v}" for k, vs in plan["sensitivity"].items() for v in vs]
     elif "configurations" in plan:
-        pairs = _list(spark, "extra", [";".join(f"{k}={v}" for k, v in c.items()) for c in plan["configurations"]])
+        extras = [";".join(f"{k}={v}" for k, v in c.items()) for c in plan["configurations"]]
     else:
-        pairs = _list(spark, "extra", [""])
-    rows = _list(spark, "dataset", plan["datasets"])
-    for name, key, kind in (("config", "configs", "string"), ("algo", "algos", "string"), ("parallelism", "parallelism", "int")):
-        rows = rows.crossJoin(_list(spark, name, plan[key], kind))
-    rows = rows.crossJoin(spark.range(1, plan["repeats"] + 1).select(F.col("id").cast("int").alias("run"))).crossJoin(pairs)
+        extras = [""]
+    rows = spark.range(1).select()
+    for name, values, kind in (("dataset", plan["datasets"], "string"), ("config", plan["configs"], "string"), ("algo", plan["algos"], "string"), ("parallelism", plan["parallelism"], "int"), ("run", list(range(1, plan["repeats"] + 1)), "int"), ("extra", extras, "string")):
+        rows = _with(rows, name, values, kind)
     return rows.withColumn("exp_id", exp_id())
 
 

@@ -63,7 +63,7 @@ _SCORES = {
 #: CTE `s`: scored rows made from events; the middle of the stream scores without its labels, so versions differ.
 S = "s AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _SCORES.items()) + " FROM events, (SELECT count(*) AS n FROM events))"
 #: CTE `pt`: events as rows with features.
-PT = "pt AS (SELECT event_id AS seq, CAST(event_id AS VARCHAR) AS id, epoch_ms(ts) AS timestamp, [value, CAST(hour(ts) AS DOUBLE), CAST(user_id AS DOUBLE), CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS DOUBLE)] AS features, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events)"
+PT = "pt AS (SELECT event_id AS seq, CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS timestamp, [value, CAST(hour(ts) AS DOUBLE), CAST(user_id AS DOUBLE), CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS DOUBLE)] AS features, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events)"
 #: CTE `fv`: a row per feature of each event.
 FV = f"{PT}, fv AS (SELECT CAST(d AS INTEGER) AS feature_id, features[d + 1] AS value, seq FROM pt, range(4) t(d))"
 #: CTE `o`: onsets made from events.

@@ -137,7 +137,7 @@ def agg13(spark, sf):
     return rounded(metrics.latency_stats(scores(spark, sf), ["p"]))
 
 
-_RATES = "t AS (SELECT epoch_ms(ts) // 60000 AS ts, user_id % 3 AS subtask, sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) / 60.0::DOUBLE AS value FROM events GROUP BY 1, 2)"
+_RATES = "t AS (SELECT epoch_us(ts) // 60000000 AS ts, user_id % 3 AS subtask, sum(CASE WHEN event_type = 'view' THEN 0 ELSE 1 END) / 60.0::DOUBLE AS value FROM events GROUP BY 1, 2)"
 
 
 def rates(spark, sf):

@@ -33,12 +33,13 @@ def parse_csv(lines: DataFrame, *, has_header: bool = True, has_id: bool = True,
     first = 2 if has_id else 1
     features = F.transform(F.slice("_parts", F.lit(first), n - int(has_id) - int(has_label)), lambda x: x.try_cast("double"))
     label = F.when(F.rlike(F.element_at("_parts", -1), F.lit(NUMBER)), F.element_at("_parts", -1).try_cast("int")) if has_label else F.lit(0)
-    rows = rows.withColumns({"features": features, "label": label}).filter(F.forall("features", lambda x: x.isNotNull()) & F.col("label").isNotNull())
+    whole = F.forall("features", lambda x: x.isNotNull()) & F.col("label").isNotNull()
+    rows = rows.withColumns({"features": features, "label": label}).filter(whole)
     if not has_id and (auto_increment_id or source is SequenceSource.AUTO_INCREMENT) or source is SequenceSource.AUTO_INCREMENT:
         rows = dense_numbers(rows, "line_no", "_n")
     id_ = F.element_at("_parts", 1) if has_id else (F.col("_n").cast("string") if auto_increment_id else F.lit("0"))
     rows = rows.withColumn("id", id_)
-    seq = F.col("_n") - 1 if source is SequenceSource.AUTO_INCREMENT else F.when(F.rlike("id", F.lit(NUMBER)), F.col("id").try_cast("long")).otherwise(F.raise_error(F.concat(F.lit("an id is not a whole number: "), "id")).cast("long"))
+    seq = F.col("_n") - 1 if source is SequenceSource.AUTO_INCREMENT else F.when(F.rlike("id", F.lit(NUMBER)), F.col("id").try_cast("long")).when(whole & (n > int(has_id) + int(has_label)), F.raise_error(F.concat(F.lit("an id is not a whole number: "), "id")).cast("long"))
     return rows.select("id", "features", "label", seq.cast("long").alias("seq"))
 
 
