@@ -31,7 +31,7 @@ def parse_csv(lines: DataFrame, *, has_header: bool = True, has_id: bool = True,
     n = F.size("_parts")
     rows = rows.filter(n > int(has_id) + int(has_label))
     first = 2 if has_id else 1
-    features = F.transform(F.slice("_parts", F.lit(first), n - int(has_id) - int(has_label)), lambda x: x.try_cast("double"))
+    features = F.transform(F.slice("_parts", F.lit(first), F.greatest(F.lit(0), n - int(has_id) - int(has_label))), lambda x: x.try_cast("double"))
     label = F.when(F.rlike(F.element_at("_parts", -1), F.lit(NUMBER)), F.element_at("_parts", -1).try_cast("int")) if has_label else F.lit(0)
     whole = F.forall("features", lambda x: x.isNotNull()) & F.col("label").isNotNull()
     rows = rows.withColumns({"features": features, "label": label}).filter(whole)
