@@ -155,11 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a model on the rows that are not held out. Labels other than 0 and 1 are left out; a document with both labels is toxic.
     At most MAX_TOXIC + MAX_ORDINARY texts of at most MAX_BYTES bytes come to the driver."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").alias("_toxic")).filter("_toxic in (0, 1)").groupBy("_id").agg(F.max("_toxic").alias("_toxic")).filter(~held_out(F.col("_id")))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marks, "_id").filter(F.octet_length("_text") <= MAX_BYTES)
     counts = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    # The first by hash are found among ids alone; their texts are fetched after.
-    names = marks.select("_id", "_toxic", F.xxhash64("_id", F.lit("sample")).alias("_h"))
-    first = names.filter("_toxic = 1").orderBy("_h", "_id").limit(MAX_TOXIC).unionByName(names.filter("_toxic = 0").orderBy("_h", "_id").limit(MAX_ORDINARY)).select("_id", "_h")
+    # The first by hash are found among ids alone; then their texts are fetched, by a broadcast of at most MAX_TOXIC + MAX_ORDINARY ids.
+    names = marks.withColumn("_h", F.xxhash64("_id", F.lit("sample")))
+    first = names.filter("_toxic = 1").orderBy("_h", "_id").limit(MAX_TOXIC).unionByName(names.filter("_toxic = 0").orderBy("_h", "_id").limit(MAX_ORDINARY))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") <= MAX_BYTES)
     got = sorted(rows.join(F.broadcast(first), "_id").select("_toxic", "_h", "_id", "_text").collect(), key=lambda r: (r["_h"], r["_id"], r["_text"]))
     kinds = [[r["_text"] for r in got if r["_toxic"] == k] for k in (0, 1)]
     return fit(kinds[1], kinds[0], max(counts.get(1, 0), len(kinds[1])), max(counts.get(0, 0), len(kinds[0])))
