@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("metrics", "windows", "models", "ingest")
+_MODULES = ("metrics", "windows", "models", "ingest", "detection", "loops")
 
 
 def _all(name: str) -> dict:
