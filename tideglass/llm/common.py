@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,19 @@ def free_names(taken, *names: str) -> list[str]:
         used.add(n.lower())
         out.append(n)
     return out
+
+
+def trimmed(run: Callable) -> Callable:
+    """A mapInArrow function that gives memory back to the system when its task ends: workers are kept for later stages."""
+
+    @functools.wraps(run)
+    def then_trim(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return then_trim

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import TO_LOWER
+from tideglass.llm.common import TO_LOWER, trimmed
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -156,7 +156,7 @@ def license_spans(df: DataFrame, notices=NOTICES, id_col: str = "doc_id", text_c
             kinds = pa.list_(pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(spans, kinds)], ["id", "n_words", "spans"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words long, spans {SPANS}").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, n_words long, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, base=BASE) -> DataFrame:

@@ -22,19 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import SPACE_WORD, TO_LOWER, checkpoint
+from tideglass.llm.common import SPACE_WORD, TO_LOWER, checkpoint, trimmed
 
 BITS = 64
 #: Fingerprints that are sampled to estimate correlations and candidate counts; they choose a plan, never a result.
 SAMPLE = 2000
 #: Rows of a meeting place beyond which it is cut into blocks of about this size.
-BLOCK = 4096
+BLOCK = 16384
 #: Cost of emitting one probe row, in verified pairs.
 PROBE_COST = 2000
 #: Most keys of dropped rows that are broadcast; beyond it, the join that drops them is shuffled.
 BROADCAST_KEYS = 2_000_000
-#: Signature length for similarity; the estimate's standard error at .8 is sqrt(.8 * .2 / 128) = .035.
-PERMUTATIONS = 128
+#: Signature length for similarity, in bytes; the estimate's standard error at .8 is sqrt(.8 * .2 / 64) = .05.
+PERMUTATIONS = 64
 
 _WORD = re.compile(SPACE_WORD)
 
@@ -66,14 +66,14 @@ _A = np.random.default_rng(11).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """16 bits of the least multiple of the hashes under each of PERMUTATIONS odd factors: two texts agree in a share of places that
-    estimates the Jaccard similarity of their shingle sets. Empty for a text without shingles."""
+    """8 bits of the least multiple of the hashes under each of PERMUTATIONS odd factors: two texts agree in a share of places that
+    estimates the Jaccard similarity of their shingle sets (and one of 256 of the other places). Zeros for a text without shingles."""
     if not len(hashes):
-        return bytes(2 * PERMUTATIONS)
+        return bytes(PERMUTATIONS)
     least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for a in range(0, len(hashes), 4096):
         np.minimum(least, (hashes[a : a + 4096, None] * _A[None, :]).min(axis=0), out=least)
-    return (least >> np.uint64(20)).astype("<u2").tobytes()
+    return (least >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
 def fingerprints(df: DataFrame, shingle: int, signatures: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +90,7 @@ def fingerprints(df: DataFrame, shingle: int, signatures: bool = False, id_col:
             out = [batch.column("_id"), batch.column("_key"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(sigs, pa.binary())] if signatures else []), ["_id", "_key", "_fp", "_sig"][: 3 + signatures])
 
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("text")).mapInArrow(run, "_id long, _key long, _fp long" + ", _sig binary" * signatures)
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "_id long, _key long, _fp long" + ", _sig binary" * signatures)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def _probes(nodes: DataFrame, p: Plan, sig: bool) -> DataFrame:
                     columns = [pa.array(np.full(len(fps), i, dtype=np.int32)), pa.array(own ^ f), pa.array(np.full(len(fps), int(f != 0), dtype=np.int8))]
                     yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in names[3:]], names)
 
-    return nodes.select(*names[3:]).mapInArrow(run, "_part int, _key long, _probe byte, _id long, _fp long" + ", _sig binary" * sig)
+    return nodes.select(*names[3:]).mapInArrow(trimmed(run), "_part int, _key long, _probe byte, _id long, _fp long" + ", _sig binary" * sig)
 
 
 def _forest(ids: np.ndarray, fps: np.ndarray, sigs: np.ndarray | None, left: np.ndarray, right: np.ndarray, radius: int, similar: float) -> list[tuple[int, int]]:
@@ -253,7 +253,7 @@ def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) ->
             c = {x: t.column(x).to_numpy() for x in ("_probe", "_block", "_a", "_b", "_id", "_fp")}
             s = None
             if sig:
-                s = np.frombuffer(b"".join(t.column("_sig").to_pylist()), dtype="<u2").reshape(-1, PERMUTATIONS)
+                s = np.frombuffer(b"".join(t.column("_sig").to_pylist()), dtype=np.uint8).reshape(-1, PERMUTATIONS)
             index = c["_probe"] == 0
             keys = [t.column(x).to_numpy() for x in place]
             cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
@@ -288,7 +288,7 @@ def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) ->
         if held:
             yield out(solve(pa.concat_tables(held)))
 
-    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideglass.llm import tokens
-from tideglass.llm.common import checkpoint
+from tideglass.llm.common import checkpoint, trimmed
 
 BLOCK = 1 << 16
 #: A chunk is closed once it has so many ids; a document is never divided.
@@ -105,7 +105,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     key = F.crc32(F.col("text").cast("binary"))
-    rows.repartitionByRange("id", key).sortWithinPartitions("id", key).mapInArrow(run, SCHEMA).write.parquet(path)
+    rows.repartitionByRange("id", key).sortWithinPartitions("id", key).mapInArrow(trimmed(run), SCHEMA).write.parquet(path)
 
 
 ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("planes_per_block", pa.int32()), ("plane_sizes", pa.list_(pa.int32())), ("payload", pa.binary())])
@@ -129,7 +129,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, id_col:
                 yield pa.RecordBatch.from_arrays(out, ["part", "doc_id", "at", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     more = ", ids array<long>" if with_ids else ""
-    docs = store.select("part", "first", "n_ids", "doc_ids", "doc_sizes", "planes_per_block", "plane_sizes", "payload").mapInArrow(run, f"part int, doc_id long, at long, n_tokens long, ids_crc32 long{more}")
+    docs = store.select("part", "first", "n_ids", "doc_ids", "doc_sizes", "planes_per_block", "plane_sizes", "payload").mapInArrow(trimmed(run), f"part int, doc_id long, at long, n_tokens long, ids_crc32 long{more}")
     # One row per part, and there are as many parts as the writer had tasks.
     sums = store.groupBy("part").agg(F.sum("n_ids").alias("n"))
     offsets = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.llm.common import trimmed
+
 #: Text bytes of a batch (Arrow batches are cut again to that), and words and pieces that a worker keeps of at most KEEP_CHARS characters.
 BATCH_BYTES, KEEP, KEEP_CHARS = 4 << 20, 500_000, 48
 #: Latin letters, and what may follow them where a piece ends. Letters' tokens end before ASCII punctuation too.
@@ -138,4 +140,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 512, id_col: s
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

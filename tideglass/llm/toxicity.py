@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.llm.common import free_names
+from tideglass.llm.common import free_names, trimmed
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 16
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             values = [model.score(model.distance(model.savings(words(t.as_py())))) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*fields, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
