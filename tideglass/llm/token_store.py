@@ -56,7 +56,7 @@ def encode_chunk(ids: np.ndarray, bits: bool = False, block: int = BLOCK) -> tup
     z, out, sizes = zstandard.ZstdCompressor(level=LEVEL), [], []
     for a in range(0, len(ids), block):
         for plane in split_planes(ids[a : a + block], bits):
-            data = z.compress(plane) if any(plane) else b""
+            data = z.compress(plane) if plane.count(0) < len(plane) else b""
             out.append(data)
             sizes.append(len(data))
     return b"".join(out), sizes

@@ -56,9 +56,9 @@ class _Memo(dict):
 class PieceEncoder:
     """join([value(ids of a piece), ...]) of texts.
 
-    The first keys that a worker meets stay with it, so the frequent ones do. In a text with single spaces the words between them are looked
-    up first (all but the text's first with the space before them); what is not known is cut into pieces, and pieces that are not
-    known are encoded.
+    The first keys that a worker meets stay with it, so the frequent ones do. In a text whose words are parted by single spaces or line ends,
+    words are looked up first (all but the text's first with what stands before them); what is not known is cut into pieces, and
+    pieces that are not known are encoded.
     """
 
     def __init__(self, spec: str, value: Callable, join: Callable, keep: int = KEEP):
@@ -71,13 +71,14 @@ class PieceEncoder:
         return self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def _word(self, word: str):
-        if not word or word[0].isspace() or word[-1].isspace():
+        edge = word[1:2] if word[:1] == "\n" else word[:1]
+        if not edge or edge.isspace() or word[-1].isspace():
             raise _Uneven
-        return self.join(map(self.pieces.__getitem__, PIECE.findall(" " + word)))
+        return self.join(map(self.pieces.__getitem__, PIECE.findall(word if word[0] == "\n" else " " + word)))
 
     def __call__(self, text: str):
         if ODD.search(text) is None:
-            first, *rest = text.split(" ")
+            first, *rest = text.replace("\n", " \n").split(" ")
             if first and not first[-1].isspace():
                 try:
                     words = list(map(self.words.__getitem__, rest))
