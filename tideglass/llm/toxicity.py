@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def shared(texts: Iterable[list[str]]) -> list[list[str]]:
+    """The same lists with one object for each word."""
+    return [[sys.intern(w) for w in t] for t in texts]
+
+
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     """Both dictionaries get the same parameters, so that what both know costs the same."""
     shape = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=5, min_match=5, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
@@ -78,16 +84,20 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(distance)))))
 
 
-def _places(texts: list[list[str]]) -> Counter:
-    """In how many places each word stands: the lesser of the texts that have it and the words that it follows. Copies of a text count
-    once."""
-    after: set = set()
+def _places(texts: list[list[str]], after: bool) -> Counter:
+    """In how many places each word stands: the texts that have it or, if these are fewer and `after`, the words that it follows. Copies of
+    a text count once."""
     docs: Counter = Counter()
+    follows: Counter = Counter()
+    seen: set[int] = set()
     for ws in {tuple(t) for t in texts}:
         docs.update(set(ws))
-        after.update(zip(("", *ws), ws))
-    follows = Counter(w for _, w in after)
-    return Counter({w: min(n, follows[w]) for w, n in docs.items()})
+        for p, w in zip(("", *ws), ws) if after else ():
+            k = hash((p, w))
+            if k not in seen:
+                seen.add(k)
+                follows[w] += 1
+    return Counter({w: min(n, follows[w]) for w, n in docs.items()}) if after else docs
 
 
 def _marking(own: Counter, n_own: int, other: Counter, n_other: int) -> list[str]:
@@ -96,7 +106,7 @@ def _marking(own: Counter, n_own: int, other: Counter, n_other: int) -> list[str
 
 
 def dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
-    a, b = _places(toxic), _places(ordinary)
+    a, b = _places(toxic, True), _places(ordinary, False)
     n_a, n_b = max(1, len(toxic)), max(1, len(ordinary))
     common = [w for _, w in sorted((n, w) for w, n in b.items())[-COMMON_WORDS:]]
     code = lambda ws: b"".join(xxhash.xxh64_digest(w) for w in ws) or bytes(8)
@@ -119,7 +129,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def fit(toxic: list[str], ordinary: list[str], n_toxic: int | None = None, n_ordinary: int | None = None) -> Model:
     """n_*: how many labelled texts of each kind there are in all, of which the lists are samples. Without texts of either kind nothing is
     learned: every score is 0 (or 1 where all labels are toxic)."""
-    kinds = [[words(t) for t in ordinary], [words(t) for t in toxic]]
+    kinds = [shared(words(t) for t in ordinary), shared(words(t) for t in toxic)]
     if not kinds[0] or not kinds[1]:
         return Model(bytes(8), bytes(8), bias=20.0 if kinds[1] else -20.0)
     saved, y = [], []
