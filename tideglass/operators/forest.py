@@ -100,7 +100,7 @@ def cold_start_pools(rows: DataFrame, config: ForestConfig, ring: int) -> DataFr
     `ring` rows before and with it, so pools of successive trees are shifted by one row."""
     slots = F.sequence(F.greatest(F.lit(0), F.col("n") - ring - 1), F.least(F.lit(config.trees_per_shard - 1), F.col("n") - 2))
     usable = rows.filter((F.col("n") >= 2) & (F.col("n") <= ring + config.trees_per_shard))
-    return usable.select("shard", F.explode(F.filter(slots, lambda k: (F.col("n") >= k + 2) & (F.col("n") <= k + 1 + ring))).alias("slot"), "seq", "features")
+    return usable.select("shard", F.explode(F.filter(slots, lambda k: (F.col("n") >= k + 2) & (F.col("n") <= k + 1 + ring))).alias("slot"), "seq", "features").withColumn("slot", F.col("slot").cast("int"))
 
 
 def assemble(trees: DataFrame, config: ForestConfig) -> DataFrame:
