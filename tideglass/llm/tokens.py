@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tideglass.llm.common import trimmed
 
 #: Text bytes of a batch (Arrow batches are cut again to that), and words and pieces that a worker keeps of at most KEEP_CHARS characters.
-BATCH_BYTES, KEEP, KEEP_CHARS = 4 << 20, 500_000, 48
+BATCH_BYTES, KEEP, KEEP_CHARS = 4 << 20, 350_000, 48
 #: Latin letters, and what may follow them where a piece ends. Letters' tokens end before ASCII punctuation too.
 LETTER, END = "A-Za-zÀ-ÖØ-öø-ʯ", r"\s!-/:-@\[-`{-~"
 PIECE = re.compile(rf"\s*+[^\s{LETTER}]*+[{LETTER}]++(?![^{END}])|\s*+[^\s{LETTER}]++(?!\S)|\s*\S+|\s+")
