@@ -11,8 +11,8 @@ from tideglass.llm.common import checkpoint, word_count
 WEIGHTS = (3, 1, 2)
 #: A bucket is the first three hex digits of a row's key: 4096 ranges of each source.
 BUCKET_DIGITS = 3
-#: Most rows (sources times buckets) of the plan that are broadcast; beyond it, the join is shuffled.
-BROADCAST_PLAN_ROWS = 1_000_000
+#: Most rows (sources times buckets, about 100 bytes each) of the plan that are broadcast; beyond it, the join is shuffled.
+BROADCAST_PLAN_ROWS = 250_000
 
 
 def targets(sources: DataFrame, share: float, cap: int, weights: tuple[int, ...]) -> DataFrame:
@@ -52,7 +52,7 @@ def mix(df: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...
     plan = targets(sources, share, cap, weights).withColumn("_budget", F.floor(F.col("target") + 0.5)).withColumn("_epochs", F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0)))
     plan = plan.select(F.struct(F.col("_source").isNull().alias("none"), F.coalesce("_source", F.lit("")).alias("name")).alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_epochs", (F.col("_budget") - F.col("_epochs") * F.col("source_size")).alias("_rest"))
     before = F.sum("_words").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("_words")
-    buckets = checkpoint(sums.withColumn("_before", before).join(plan, "_src").withColumn("_cut", (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest"))))
+    buckets = checkpoint(sums.withColumn("_before", before).join(plan, "_src").withColumn("_cut", (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest"))).drop("_words"))
     buckets = F.broadcast(buckets) if buckets.count() <= BROADCAST_PLAN_ROWS else buckets
     joined = rows.join(buckets, ["_src", "_bucket"])
     # All of a bucket lies on one side of the cut, but for one bucket of each source: only that is sorted.
