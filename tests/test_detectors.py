@@ -127,9 +127,12 @@ def test_running_over_blocks(spark, monkeypatch):
     for r in got.collect():
         own = [x[r["g"], k] for k in range(r["n"] + 1)]
         assert r["s"] == pytest.approx(sum(own), abs=1e-9) and (r["m"], r["top"], r["c"]) == (min(own), max(own), len(own))
+    fast = {(r["g"], r["n"]): (r["m"], r["k"]) for r in running.sliding_mean(df, ["g"], "n", 10, "x", "m", "k", block=17).collect()}
     rows = slid.collect()
     assert len(rows) == 1000
     for r in rows:
+        own = [x[r["g"], k] for k in range(max(0, r["n"] - 9), r["n"] + 1)]
+        assert fast[r["g"], r["n"]] == (pytest.approx(sum(own) / len(own), abs=1e-9), len(own))
         assert r["a"] == pytest.approx(sum(x[r["g"], k] for k in range(max(0, r["n"] - 9), r["n"] + 1)), abs=1e-9)
 
 

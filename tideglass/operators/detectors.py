@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tideglass.config import DriftStatus, HddmConfig, IksConfig, PerFeatureHddmConfig
 from tideglass.functions.scalar import ewma_bound, hoeffding_bound, ks_confirm_threshold
-from tideglass.operators.running import running, sliding
+from tideglass.operators.running import running, sliding_mean
 
 STABLE, WARN, DRIFT = DriftStatus.STABLE, DriftStatus.WARN, DriftStatus.DRIFT
 
@@ -336,7 +336,7 @@ def hddm_a(values: DataFrame, config: HddmConfig | None = None) -> DataFrame:
 
 def hddm_a_windowed(values: DataFrame, config: HddmConfig | None = None) -> DataFrame:
     config = config or HddmConfig()
-    means = sliding(numbered(values), ["feature_id"], "n", config.window - 1, {"mean": F.avg("value"), "_k": F.count("value")})
+    means = sliding_mean(numbered(values), ["feature_id"], "n", config.window, "value", "mean", "_k")
     return _judged(means.withColumn("eps", hoeffding_bound(F.col("_k").cast("double"), config.drift_confidence)), config)
 
 

@@ -49,3 +49,14 @@ def sliding(df: DataFrame, by: list[str], order: str, preceding: int, what: dict
     copies = rows.withColumn("_block", F.explode(F.sequence(F.col("_block"), ahead))).withColumn("_own", F.floor(F.col(order) / block) == F.col("_block"))
     w = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(-preceding, 0)
     return copies.withColumns({n: c.over(w) for n, c in what.items()}).filter("_own").drop("_block", "_own")
+
+
+def sliding_mean(df: DataFrame, by: list[str], order: str, window: int, value: str, mean: str, count: str, block: int = BLOCK) -> DataFrame:
+    """df with the mean and count of `value` over the last `window` rows: differences of running sums inside a block and its halo, so a row's
+    cost does not grow with the window. `value` has no nulls."""
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    copies = rows.withColumn("_block", F.explode(F.sequence(F.col("_block"), F.floor((F.col(order) + window - 1) / block)))).withColumn("_own", F.floor(F.col(order) / block) == F.col("_block"))
+    w = Window.partitionBy(*by, "_block").orderBy(order)
+    summed = copies.withColumns({"_sum": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_row": F.row_number().over(w)})
+    last = summed.withColumns({count: F.least(F.col("_row"), F.lit(window)), "_left": F.coalesce(F.lag("_sum", window).over(w), F.lit(0.0))})
+    return last.filter("_own").withColumn(mean, (F.col("_sum") - F.col("_left")) / F.col(count)).drop("_block", "_own", "_sum", "_row", "_left")
