@@ -33,8 +33,12 @@ BLOCK = 16384
 PROBE_COST = 2000
 #: Most keys of dropped rows that are broadcast; beyond it, the join that drops them is shuffled.
 BROADCAST_KEYS = 2_000_000
-#: Signature length for similarity, in bytes; the estimate's standard error at .8 is sqrt(.8 * .2 / 64) = .05.
-PERMUTATIONS = 64
+#: Signature length for similarity, in bytes; the estimate's standard error at .8 is sqrt(.8 * .2 / 128) = .035.
+PERMUTATIONS = 128
+#: Signatures only choose candidates: a pair may agree in so much less than the similarity that is asked for (four standard errors).
+SLACK = 0.15
+#: Rows and shingles of a group of candidates beyond which it is cut into blocks of about this size.
+VERIFY_ROWS, VERIFY_SHINGLES = 4096, 1 << 20
 
 _WORD = re.compile(SPACE_WORD)
 
@@ -76,21 +80,28 @@ def signature(hashes: np.ndarray) -> bytes:
     return (least >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
-def fingerprints(df: DataFrame, shingle: int, signatures: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _key (hash of id and text), _fp (the 64 bits as a signed long) and, if asked for, _sig of every row. Null and word-less texts have fingerprint 0."""
+def fingerprints(df: DataFrame, shingle: int, sets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _key (hash of id and text), _fp (the 64 bits as a signed long) of every row. Null and word-less texts have fingerprint 0. With
+    `sets`, also what depends on the set of shingles alone: _set (a 64-bit hash of it), _size, _near (its fingerprint) and _sig."""
+    names = ["_id", "_key", "_fp", *(["_set", "_size", "_near", "_sig"] if sets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
         for batch in batches:
-            fps, sigs = [], []
+            fps, hashes, sizes, near, sigs = [], [], [], [], []
             for t in batch.column("text"):
                 h = shingle_hashes(t.as_py(), shingle)
                 fps.append(fingerprint(h))
-                if signatures:
-                    sigs.append(signature(h))
-            out = [batch.column("_id"), batch.column("_key"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(sigs, pa.binary())] if signatures else []), ["_id", "_key", "_fp", "_sig"][: 3 + signatures])
+                if sets:
+                    u = np.unique(h)
+                    hashes.append(xxhash.xxh64_intdigest(u.tobytes(), 7))
+                    sizes.append(len(u))
+                    near.append(fps[-1] if len(u) == len(h) else fingerprint(u))
+                    sigs.append(signature(u))
+            out = [batch.column("_id"), batch.column("_key"), signed(fps)]
+            yield pa.RecordBatch.from_arrays(out + ([signed(hashes), pa.array(sizes, pa.int64()), signed(near), pa.array(sigs, pa.binary())] if sets else []), names)
 
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "_id long, _key long, _fp long" + ", _sig binary" * signatures)
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "_id long, _key long, _fp long" + ", _set long, _size long, _near long, _sig binary" * sets)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,6 +240,23 @@ def _forest(ids: np.ndarray, fps: np.ndarray, sigs: np.ndarray | None, left: np.
     return edges
 
 
+def _stars(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components by one edge for each node, to the least node that it reaches."""
+    least: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := least.setdefault(x, x)) != x:
+            least[x] = least[up]
+            x = up
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        if a != b:
+            least[max(a, b)] = min(a, b)
+    return [(r, x) for x in list(least) if (r := root(x)) != x]
+
+
 def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) -> DataFrame:
     """(u, v): links between nodes (_id, distinct _fp or distinct (_fp, _sig)) enough to connect all that are within radius and, given
     min_similarity, whose signatures agree in that share of places."""
@@ -272,7 +300,7 @@ def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) ->
             return edges
 
         def out(edges):
-            e = np.array(edges, dtype=np.int64).reshape(-1, 2)
+            e = np.array(_stars(edges) if sig else edges, dtype=np.int64).reshape(-1, 2)
             e = e[e[:, 0] != e[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(e.min(axis=1, initial=2**63 - 1)), pa.array(e.max(axis=1, initial=-(2**63)))], ["u", "v"])
 
@@ -314,13 +342,83 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return stars.union(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Positions (i, j) of links enough to connect all sets (distinct hashes) whose Jaccard similarity is at least `similarity`."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    _, code = np.unique(flat, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    open_, n_open, edges = np.ones(n, dtype=bool), n, []
+    for s in range(n):
+        if not open_[s]:
+            continue
+        open_[s], n_open, queue = False, n_open - 1, [s]
+        while queue and n_open:
+            u = queue.pop()
+            own = code[begin[u] : begin[u + 1]]
+            common = np.zeros(n, dtype=np.int64)
+            for a in range(0, len(own), 1024):
+                k = own[a : a + 1024]
+                lengths = starts[k + 1] - starts[k]
+                at = np.repeat(starts[k] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                common += np.bincount(holders[at], minlength=n)
+            found = np.flatnonzero(open_ & (common > 0) & (common >= similarity * (sizes + sizes[u] - common)))
+            open_[found] = False
+            n_open -= len(found)
+            queue += found.tolist()
+            edges += [(u, int(v)) for v in found]
+    return edges
+
+
+def verified(df: DataFrame, nodes: DataFrame, loose: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(u, v): links between nodes (_id, _row: _key of a row that has its text, _size) of one component of `loose` (node, component) enough to
+    connect all whose shingle sets have a Jaccard similarity of at least `similarity`, counted on the sets themselves.
+
+    The texts of nodes in components are fetched, one for each node. A large component is cut into blocks, and each pair of blocks is a task.
+    """
+    groups = loose.join(nodes.select(F.col("_id").alias("node"), "_row", "_size"), "node")
+    cut = groups.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / VERIFY_ROWS, F.sum("_size") / VERIFY_SHINGLES)).cast("int").alias("_blocks"))
+    wanted = checkpoint(groups.join(cut, "component").select("node", "component", "_row", "_blocks"))
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts = df.select(F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text")).join(keys, "_row")
+    blocks = texts.withColumn("_block", F.pmod(F.xxhash64("node"), F.greatest("_blocks", F.lit(1))).cast("int"))
+    # With more than one block the pairs of different blocks hold all pairs of rows.
+    blocks = blocks.withColumn("_other", F.explode(F.expr("filter(sequence(0, greatest(_blocks, 1) - 1), x -> _blocks <= 1 or x <> _block)")))
+    rows = blocks.select("component", F.least("_block", "_other").alias("_a"), F.greatest("_block", "_other").alias("_b"), "node", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sets = None, {}
+
+        def out():
+            ids = list(sets)
+            e = np.array([(ids[i], ids[j]) for i, j in similar_links(list(sets.values()), similarity)], dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(e.min(axis=1, initial=2**63 - 1)), pa.array(e.max(axis=1, initial=-(2**63)))], ["u", "v"])
+
+        for batch in batches:  # sorted by place
+            for *at, node, text in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if at != place:
+                    if len(sets) > 1:
+                        yield out()
+                    place, sets = at, {}
+                if node not in sets:  # rows equal in id and text
+                    sets[node] = np.unique(shingle_hashes(text.as_py(), shingle))
+        if len(sets) > 1:
+            yield out()
+
+    place = ["component", "_a", "_b"]
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(trimmed(run), "u long, v long").distinct()
+
+
 def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, min_similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, fingerprint (16 hex digits), component_id (least id reachable over links) for every row.
 
-    Rows link if their fingerprints differ in at most `radius` bits and, given min_similarity, their shingle sets' similarity (estimated by
-    signatures) is at least that. Equal fingerprints (and signatures) are one node from the start, so copies never make pairs. Null and
-    word-less texts have fingerprint 0 and link like others; repeated ids are told apart by their fingerprints; a null id is in the component of
-    its text, and never names it unless all its ids are null. An empty table gives no rows; other columns are ignored.
+    Rows link if their fingerprints differ in at most `radius` bits. Given min_similarity, fingerprints (of the sets of shingles) and
+    signatures, held against a lower bar, only choose candidates, and of these rows link whose sets have at least that Jaccard similarity.
+    Equal fingerprints (or sets) are one node from the start, so copies never make pairs. Null and word-less texts have fingerprint 0 and
+    link like others (given min_similarity, with each other); repeated ids are told apart by their fingerprints; a null id is in the
+    component of its text, and never names it unless all its ids are null. An empty table gives no rows; other columns are ignored.
     """
     named = _named(df, shingle, radius, min_similarity, id_col, text_col)
     return named.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -328,19 +426,22 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, min_simila
 
 def _named(df: DataFrame, shingle: int, radius: int, min_similarity: float | None, id_col: str, text_col: str) -> DataFrame:
     """_id, _key (hash of id and text), _fp, component_id and _c (the component's own number) of every row."""
-    sig = min_similarity is not None
-    key = ["_fp"] + ["_sig"] * sig
-    rows = checkpoint(fingerprints(df, shingle, sig, id_col, text_col))
-    # A fingerprint is its node's own number; with signatures, a 64-bit hash of both is (two of n nodes meet with a chance of n * n / 2**65).
-    nodes = checkpoint(rows.groupBy(*key).agg(F.min("_id").alias("_least")).withColumn("_id", F.xxhash64(*key) if sig else F.col("_fp")))
-    found = components(links(nodes, radius, min_similarity))
-    by_node = nodes.join(found, nodes._id == found.node, "left").select(*key, "_least", F.coalesce("component", "_id").alias("_c"))
+    sets = min_similarity is not None
+    key = "_set" if sets else "_fp"
+    rows = checkpoint(fingerprints(df, shingle, sets, id_col, text_col))
+    # A fingerprint, or the 64-bit hash of a set, is its node's own number (two of n sets meet with a chance of n * n / 2**65).
+    of_set = [F.first("_near").alias("_fp"), F.first("_sig").alias("_sig"), F.first("_size").alias("_size"), F.min("_key").alias("_row")]
+    nodes = checkpoint(rows.groupBy(F.col(key).alias("_id")).agg(F.min("_id").alias("_least"), *(of_set if sets else [F.first("_fp").alias("_fp")])))
+    found = components(links(nodes, radius, max(0.0, min_similarity - SLACK) if sets else None))
+    if sets:
+        found = components(verified(df, nodes, found, shingle, min_similarity, id_col, text_col))
+    by_node = nodes.join(found, nodes._id == found.node, "left").select(F.col("_id").alias(key), "_least", F.coalesce("component", "_id").alias("_c"))
     names = by_node.groupBy("_c").agg(F.min("_least").alias("component_id"))
-    named = by_node.join(names, "_c").select(*key, "component_id", "_c")
+    named = by_node.join(names, "_c").select(key, "component_id", "_c")
     return rows.join(named, key).select("_id", "_key", "_fp", "component_id", "_c")
 
 
-def one_of_each(df: DataFrame, shingle: int = 5, radius: int = 12, min_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, shingle: int = 5, radius: int = 15, min_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component: that with the least id (null last). Of rows equal in id and text one stays."""
     rows = checkpoint(_named(df, shingle, radius, min_similarity, id_col, text_col).select("_id", "_key", "_c"))
     first = rows.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_first"))
