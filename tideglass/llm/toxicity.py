@@ -2,13 +2,16 @@
 
 Words are written as 8-byte codes, so that a compressor can match whole words and phrases alone. Two zstandard dictionaries are made
 from labelled texts: one of the words that mark toxic texts, one of the words that mark ordinary texts, each followed by the same common
-words. A text is cut into windows of WINDOW words; the bytes that the toxic dictionary saves against the ordinary one, summed over windows
-that save at least `least`, are its distance. Distances of labelled texts under dictionaries that did not see them calibrate the
-threshold `least` and a logistic curve from distance to score.
+words. A text is cut into windows of WINDOW words; a window gains the bytes that the toxic dictionary saves against the ordinary one, if
+they are at least `least`, and loses `drift`. The run of windows with the largest sum counts, so that ordinary text around a passage does not.
+Long ordinary texts have such runs by chance: of n windows, one of a sum over x with a chance of about n * exp(-rate * x). The distance is
+rate * x - log(n), so it does not grow with the length of ordinary text. Distances of labelled texts under dictionaries that did not see
+them calibrate `least`, `drift`, `rate` and a logistic curve from distance to score.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import sys
@@ -35,6 +38,8 @@ OWN_WORDS, COMMON_WORDS = 4096, 4096
 #: other kind's.
 MIN_PLACES, RATIO = 3, 20.0
 REJECT = 0.7
+#: Bytes that a window without savings may lose in a run, of which calibration takes one.
+DRIFTS = (0.125, 0.25, 0.5, 1.0)
 
 
 def words(text: str | None) -> list[str]:
@@ -57,6 +62,8 @@ class Model:
     toxic: bytes
     ordinary: bytes
     least: int = 4
+    drift: float = 0.25
+    rate: float = 1.0
     bias: float = -20.0
     slope: float = 0.0
 
@@ -77,10 +84,15 @@ class Model:
             out.append(len(ordinary(w)) - len(toxic(w)))
         return out
 
-    def distance(self, savings: list[int]) -> int:
-        return sum(x for x in savings if x >= self.least)
+    def distance(self, savings: list[int]) -> float:
+        best, run, at = 0.0, 0.0, -1
+        for k, x in enumerate(savings):
+            if x >= self.least:
+                run = max(0.0, run - self.drift * (k - at)) + x
+                best, at = max(best, run), k
+        return max(0.0, self.rate * best - math.log(max(1, len(savings))))
 
-    def score(self, distance: int) -> float:
+    def score(self, distance: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(distance)))))
 
 
@@ -126,6 +138,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0]), float(beta[1]), float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
 
 
+def _rate(savings: list[list[int]], least: int, drift: float) -> float:
+    """The positive root of mean(exp(rate * (gain - drift))) = 1 over windows of ordinary texts and one more that gains 2 * least: what
+    exp(-rate * x) the chance of a run's sum over x falls by (Karlin and Altschul). 0 if gains are no rarer than drift allows."""
+    gains = Counter(x if x >= least else 0 for s in savings for x in s) + Counter([2 * least])
+    n = sum(gains.values())
+    mean = lambda r: sum(c * math.exp(r * (x - drift)) for x, c in gains.items()) / n
+    if sum(c * x for x, c in gains.items()) >= drift * n:
+        return 0.0
+    low, high = 0.0, 2.0
+    for _ in range(40):
+        r = (low + high) / 2
+        low, high = (r, high) if mean(r) < 1 else (low, r)
+    return low
+
+
 def fit(toxic: list[str], ordinary: list[str], n_toxic: int | None = None, n_ordinary: int | None = None) -> Model:
     """n_*: how many labelled texts of each kind there are in all, of which the lists are samples. Without texts of either kind nothing is
     learned: every score is 0 (or 1 where all labels are toxic)."""
@@ -147,13 +174,14 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int | None = None, n_ord
     target = np.array(y, dtype=float)
     weight = np.where(target == 1, (n_toxic or len(toxic)) / len(toxic), (n_ordinary or len(ordinary)) / len(ordinary))
     best = None
-    for least in range(2, 9):
-        x = np.array([math.log1p(sum(v for v in s if v >= least)) for s in saved])
+    for least, drift in itertools.product(range(2, 9), DRIFTS):
+        half = Model(b"", b"", least, drift, _rate([s for s, label in zip(saved, y) if not label], least, drift))
+        x = np.array([math.log1p(half.distance(s)) for s in saved])
         bias, slope, loss = _logistic(x, target, weight)
         if slope > 0 and (best is None or loss < best[0] - 1e-9):
-            best = (loss, least, bias, slope)
-    _, least, bias, slope = best or (0, 4, -20.0, 0.0)
-    return Model(*dictionaries(kinds[1], kinds[0]), least, bias, slope)
+            best = (loss, least, drift, half.rate, bias, slope)
+    _, *calibrated = best or (0, 4, 0.25, 1.0, -20.0, 0.0)
+    return Model(*dictionaries(kinds[1], kinds[0]), *calibrated)
 
 
 def held_out(doc_id):
