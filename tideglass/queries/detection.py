@@ -43,6 +43,7 @@ def det4(spark, sf):
     return detectors.hddm_w(unit(spark, sf), HDDM.hddm).select("feature_id", "seq", "status")
 
 
+#: The queries with SQL show the sliding test at every _P-th row; those of the same name with _rows show every row.
 _P = 100
 #: KS of the first 400 values against the 400 up to each look, every _P rows: counted over the values of both.
 _LOOKS = f"""lk AS (SELECT feature_id, n AS looked FROM z WHERE n >= 400 AND (n - 400) % {_P} = 0),
@@ -51,8 +52,8 @@ g AS (SELECT feature_id, looked, x, sum(sum(d)) OVER (PARTITION BY feature_id, l
 
 
 class _FixedKs:
-    def __init__(self, w: int):
-        self.w, self.n, self.warm, self.win = w, 0, [], None
+    def __init__(self, w: int, stride: int):
+        self.w, self.stride, self.n, self.warm, self.win = w, stride, 0, [], None
 
     def step(self, v: float) -> float | None:
         self.n += 1
@@ -63,34 +64,60 @@ class _FixedKs:
             self.win = detectors.KsWindow(self.warm)
         else:
             self.win.slide(v)
-        return self.win.ks() if (self.n - self.w) % _P == 0 else None
+        return self.win.ks() if (self.n - self.w) % self.stride == 0 else None
 
 
 @register("WIN7_reference_ks", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, looked, round(ks, 6) AS ks FROM ks")
 def win7(spark, sf):
     """The statistic of a fixed reference against a sliding window, at every hundredth row."""
+    return _reference_ks(spark, sf, _P)
+
+
+@register("WIN7_reference_ks_rows")
+def win7_rows(spark, sf):
+    """The same at every row from the 400th."""
+    return _reference_ks(spark, sf, 1)
+
+
+def _reference_ks(spark, sf, stride: int):
     step = lambda s, g, v: [(g, s.n, ks)] if (ks := s.step(v)) is not None else []
-    return rounded(detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400), step, "feature_id int, looked bigint, ks double"))
+    return rounded(detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400, stride), step, "feature_id int, looked bigint, ks double"))
 
 
 @register("DET1_iks", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, CAST(looked AS BIGINT) - 1 AS seq, CASE WHEN ks > sqrt(-0.5::DOUBLE * ln(0.001::DOUBLE)) * sqrt(2.0::DOUBLE / 400) THEN 'DRIFT' ELSE 'STABLE' END AS status FROM ks")
 def det1(spark, sf):
     """The status of the sliding test, shown at every hundredth row."""
-    s = detectors.statuses(unit(spark, sf), lambda: detectors.Iks(IKS))
-    return s.filter(f"seq >= 399 AND (seq - 399) % {_P} = 0")
+    return det1_rows(spark, sf).filter(f"seq >= 399 AND (seq - 399) % {_P} = 0")
+
+
+@register("DET1_iks_rows")
+def det1_rows(spark, sf):
+    """The status of the sliding test at every row, those of the warm-up included."""
+    return detectors.statuses(unit(spark, sf), lambda: detectors.Iks(IKS))
 
 
 @register("DET1a_value_slots")
 def det1a(spark, sf):
-    """What an ordered map of counts does elsewhere is done by slots of the reference's values: the largest statistic of each feature."""
+    """What an ordered map of counts does elsewhere is done by slots of the reference's values: the largest statistic of each feature
+    over all rows from the 400th."""
     step = lambda s, g, v: [(g, ks)] if (ks := s.step(v)) is not None else []
-    ks = detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400), step, "feature_id int, ks double")
+    ks = detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400, 1), step, "feature_id int, ks double")
     return rounded(ks.groupBy("feature_id").agg(F.max("ks").alias("max_ks"), F.count("*").alias("looks")))
 
 
 @register("DET1b_excess_counts", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, looked, CAST(max(g) AS BIGINT) AS max_excess, CAST(min(g) AS BIGINT) AS min_excess FROM g GROUP BY feature_id, looked")
 def det1b(spark, sf):
     """Largest and smallest excess of current over reference values below a value, at every hundredth row."""
+    return _excess(spark, sf, _P)
+
+
+@register("DET1b_excess_counts_rows")
+def det1b_rows(spark, sf):
+    """The same at every row from the 400th."""
+    return _excess(spark, sf, 1)
+
+
+def _excess(spark, sf, stride: int):
     import numpy as np
 
     def step(s, g, v):
@@ -101,7 +128,7 @@ def det1b(spark, sf):
         points = np.cumsum(s.win.excess)[held]
         return [(g, s.n, int(points.max()), int(points.min()))]
 
-    out = detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400), step, "feature_id int, looked bigint, max_excess bigint, min_excess bigint")
+    out = detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400, stride), step, "feature_id int, looked bigint, max_excess bigint, min_excess bigint")
     return out
 
 
@@ -168,6 +195,16 @@ def det11_fires(spark, sf):
 @register("DET12_sliding_test", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, looked, round(max(abs(g)) / 400.0::DOUBLE, 6) AS ks, round((greatest(max(g), 0) - least(min(g), 0)) / 400.0::DOUBLE, 6) AS kuiper, max(abs(g)) / 400.0::DOUBLE > 1.95::DOUBLE * sqrt(2.0::DOUBLE / 400) AS fires FROM g GROUP BY feature_id, looked")
 def det12(spark, sf):
     """The stand-alone object: increment, then ks, kuiper and test(1.95) at every hundredth row."""
+    return _sliding_test(spark, sf, _P)
+
+
+@register("DET12_sliding_test_rows")
+def det12_rows(spark, sf):
+    """The same at every row from the 400th."""
+    return _sliding_test(spark, sf, 1)
+
+
+def _sliding_test(spark, sf, stride: int):
 
     class State:
         def __init__(self):
@@ -181,7 +218,7 @@ def det12(spark, sf):
                 s.sw = detectors.IksSw(s.warm)
         else:
             s.sw.increment(v)
-        return [(g, s.n, s.sw.ks(), s.sw.kuiper(), s.sw.test(1.95))] if s.sw and (s.n - 400) % _P == 0 else []
+        return [(g, s.n, s.sw.ks(), s.sw.kuiper(), s.sw.test(1.95))] if s.sw and (s.n - 400) % stride == 0 else []
 
     return rounded(detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], State, step, "feature_id int, looked bigint, ks double, kuiper double, fires boolean"))
 
