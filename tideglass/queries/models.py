@@ -213,33 +213,34 @@ def sc3(spark, sf):
     return e.withColumns({"round_id": batch_round(F.col("batch_id")), "shard": F.shiftright("batch_id", 32)})
 
 
-def _frozen(spark, sf, rows_filter, key: int):
-    """A forest of 20 trees on the first 500 of the rows (by hash) that the filter keeps."""
+def _frozen(spark, sf, rows_filter, key: int, pool_rows: int, n_trees: int = 100):
+    """A forest of n_trees trees on the first pool_rows of the rows (by hash) that the filter keeps."""
     import numpy as np
 
     p = points(spark, sf).filter(rows_filter)
-    pool = [r["features"] for r in p.select("features", F.md5(F.col("id").cast("binary")).alias("h")).orderBy("h").limit(500).collect()]
+    pool = [r["features"] for r in p.select("features", F.md5(F.col("id").cast("binary")).alias("h")).orderBy("h").limit(pool_rows).collect()]
     x = np.array(pool, dtype=float)
-    return [forest.build_from_pool(x, 256, 42, key, k, 0) for k in range(20)]
+    return [forest.build_from_pool(x, 256, 42, key, k, 0) for k in range(n_trees)]
 
 
 @register("IF9_frozen_baseline")
 def if9(spark, sf):
-    """AUC before and after the middle of the stream of a forest trained on ordinary rows of its first third."""
+    """AUC before and after the middle of the stream of 100 trees trained on 4,000 ordinary rows of its first third."""
     n = table(spark, sf, "events").count()
-    t = _frozen(spark, sf, (F.col("label") == 0) & (F.col("seq") < n // 3), 1)
+    t = _frozen(spark, sf, (F.col("label") == 0) & (F.col("seq") < n // 3), 1, 4000)
     s = forest.score(points(spark, sf), t, t[0]["subsample_size"]).withColumn("part", F.when(F.col("seq") * 2 < n, "before").otherwise("after"))
     return rounded(metrics.roc_auc(s, ["part"]))
 
 
 @register("IF10_oracle_ceiling")
 def if10(spark, sf):
-    """The AUC after the middle of the stream by training pool: ordinary rows after it, or all rows."""
+    """The AUC after the middle of the stream of 100 trees by training pool: 1,000 or 4,000 ordinary rows after it, or 1,000 of all rows."""
     n = table(spark, sf, "events").count()
     after = F.col("seq") * 2 >= n
     out = None
-    for k, (name, keep) in enumerate((("clean", after & (F.col("label") == 0)), ("unfiltered", after))):
-        t = _frozen(spark, sf, keep, k)
+    clean = after & (F.col("label") == 0)
+    for k, (name, keep, rows) in enumerate((("clean-1000", clean, 1000), ("clean-4000", clean, 4000), ("unfiltered-1000", after, 1000))):
+        t = _frozen(spark, sf, keep, k, rows)
         a = metrics.roc_auc(forest.score(points(spark, sf).filter(after), t, t[0]["subsample_size"])).select(F.lit(name).alias("pool"), "n", "auc")
         out = a if out is None else out.unionByName(a)
     return rounded(out)
