@@ -85,11 +85,34 @@ def test_decontamination(spark, docs, none):
 
 
 def test_quality(docs, none):
-    out = quality.cascade(quality.measured(docs), [quality.Rule("few", F.col("n_words") < 10)])
-    got = {r["doc_id"]: (r["n_words"], r["kept"], r["rejected_by"]) for r in out.collect()}
-    assert got[2] == (0, False, "few") and got[8] == (0, False, "few") and got[6] == (120_000, True, None)
-    assert quality.cascade(docs, quality.text_rules(F.col("text"))).filter("kept").select("doc_id").collect() == [(6,)]
-    assert quality.cascade(quality.measured(none), [quality.Rule("few", F.col("n_words") < 10)]).count() == 0
+    rules = [quality.Rule("few", quality.word_count(F.col("text")) < 10)]
+    out = quality.cascade(quality.measured(docs), rules)
+    # The table has columns `kept` and `n_words` of its own: they stay.
+    got = {r["doc_id"]: (r["_n_words"], r["_kept"], r["rejected_by"], r["kept"], r["n_words"]) for r in out.collect()}
+    assert got[2] == (0, False, "few", "clash", "clash") and got[8][:3] == (0, False, "few") and got[6][:3] == (120_000, True, None) and out.count() == len(ROWS)
+    plain = docs.select("doc_id", "text")
+    assert quality.cascade(plain, quality.text_rules(F.col("text"))).filter("kept").select("doc_id").collect() == [(6,)]
+    assert quality.cascade(none.select("doc_id", "text"), rules).count() == 0
+    # Of rules that reject, the first as they were given is named, whatever the order in which they ran.
+    both = [quality.Rule("z", quality.word_count(F.col("text")) < 10), quality.Rule("a", F.col("text").isNull() | (F.length("text") < 100))]
+    assert {r["rejected_by"] for r in quality.cascade(plain, both).collect()} == {"z", None}
+    assert {r["rejected_by"] for r in quality.cascade(plain, both[::-1]).collect() if r["doc_id"] != 9} <= {"a", None}
+
+
+def test_quality_sample_is_bounded(spark, tmp_path):
+    """The sample is read from the first partitions that hold enough rows."""
+    path = str(tmp_path / "many")
+    spark.range(0, 40_000, 1, 40).selectExpr("id as doc_id", "repeat('word ', 20) as text").write.parquet(path)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.read.parquet(path).repartition(40).mapInArrow(counted, "doc_id long, text string")
+    assert quality.sample_of(df, "text", 100).count() == 100
+    assert read.value <= 5_000
 
 
 def test_toxicity(spark, docs, none):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import defaultdict, deque
 
@@ -45,6 +46,52 @@ def test_edited_notices(text, label, words):
     assert [(s.label, s.first, s.last) for s in spans] == [(label, *words)]
 
 
+@pytest.mark.parametrize("text", ["licensed under the mpl license", "under the fit license", "Apache License, Version 3", "apache license version 1 1", "apache license version 20", "gnu better general public license", "gnu general public license version 4"])
+def test_names_are_not_edited(text):
+    assert license_scan.scan(text)[1] == []
+
+
+def test_random_edits_of_notices():
+    """Brute force: edits in words that name nothing are found while there are no more than a notice may have (dynamic programming counts
+    them), and words that name the license are never edited."""
+    rnd = random.Random(8)
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for _ in range(600):
+        n = rnd.randrange(len(license_scan.NOTICES))
+        phrase, label = license_scan.NOTICES[n]
+        k, words = license_scan.edits(phrase), phrase.split(" ")
+        free = [i for i, w in enumerate(words) if w not in license_scan.NAMING and len(w) > 3]
+        changed = list(words)
+        for _ in range(rnd.randint(0, 3) if free else 0):
+            i = rnd.choice(free)
+            w, at = changed[i], rnd.randrange(1, len(changed[i]) - 1)
+            changed[i] = rnd.choice([w[:at] + "q" + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + "q" + w[at:]])
+            if len(changed[i]) < 3:
+                changed = list(words)
+        text = " ".join(["foo", "bar", *changed, "baz"])
+        off = distance(phrase, " ".join(changed))
+        spans = [(s.label, s.first, s.last) for s in license_scan.scan(text)[1] if s.notice == n]
+        assert (spans == [(label, 2, 1 + len(words))]) == (off <= k), (phrase, text, off, spans)
+
+
+def test_time_grows_with_the_text():
+    def seconds(n: int) -> float:
+        began = time.perf_counter()
+        assert len(license_scan.scan("under the mit licence foo " * n)[1]) == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16_000) < 12 * seconds(4_000)
+
+
 def test_clean_text_has_no_notice():
     assert license_scan.scan("the license of the driver and the public version of the general")[1] == []
     assert len(license_scan.scan("under the mit license " * 3)[1]) == 3
@@ -113,21 +160,66 @@ def test_leaks(spark):
     docs = {
         1: f"{filler}. {ITEM}. {filler}",
         2: f"{filler}. {ITEM.replace('Anna Miller', 'Carla Stone').replace('120 miles', '95 km').replace('15 miles', '20 km').replace('Boris', 'Viktor')}",
-        3: f"{filler}. {ITEM.replace('Anna Miller', 'Carla Stone', 1)}",
+        3: f"{filler}. {ITEM.replace('Anna Miller', 'Carla Stone', 1)}",  # a copy, but for one name
         4: filler,
         5: " ".join(ITEM.split(" ")[:7]) + " and nothing more of it",
     }
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     bench = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
     found = {r["doc_id"]: r for r in decontamination.leaks(df, bench).collect()}
-    assert set(found) == {1, 2} and not found[1]["reparameterised"] and found[2]["reparameterised"]
-    assert found[1]["coverage"] == 1.0
-    assert {r["doc_id"] for r in decontamination.decontaminate(df, bench).collect()} == {3, 4, 5}
+    assert set(found) == {1, 2, 3} and not found[1]["reparameterised"] and found[2]["reparameterised"] and not found[3]["reparameterised"]
+    assert found[1]["coverage"] == 1.0 and 0.5 <= found[3]["coverage"] < 1
+    assert {r["doc_id"] for r in decontamination.decontaminate(df, bench).collect()} == {4, 5}
+
+
+@pytest.mark.parametrize(
+    "item,copy",
+    [
+        ("Alice has 5 apples. Alice buys 3 more apples. How many apples has Alice now?", "Bob has 7 apples. Bob buys 4 more apples. How many apples has Bob now?"),
+        ("Tom has 5 apples. Tom eats 2. How many are left?", "Ann has 9 apples. Ann eats 4. How many are left?"),
+        ("Maria walks 12 km to the market and 12 km back. How far does Maria walk?", "Ines walks 30 miles to the market and 30 miles back. How far does Ines walk?"),
+    ],
+)
+def test_short_questions_with_other_names(spark, item, copy):
+    docs = spark.createDataFrame([(1, f"Some words before. {copy} And some after."), (2, "Some words before. And some after."), (3, item)], "doc_id long, text string")
+    found = {r["doc_id"]: r["reparameterised"] for r in decontamination.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert found == {1: True, 3: False}
+
+
+def test_slots_that_disagree():
+    """Windows that carry a pair which the alignment's other windows outvote do not match; those that are the item's always do."""
+    a = [(0, ["3anna", "15"], ["3carla", "17"]), (1, ["3anna"], ["3carla"]), (2, ["3anna"], ["3boris"]), (3, ["15"], ["17"]), (4, ["3anna"], ["3anna"])]
+    assert decontamination.matches(a) == ([0, 1, 3, 4], 1)
+    # Two names of the item are not one of the document.
+    assert decontamination.matches([(0, ["3anna"], ["3carla"]), (1, ["3anna"], ["3carla"]), (2, ["3boris"], ["3carla"])]) == ([0, 1], 0)
+    assert decontamination.matches([(5, [], [])]) == ([5], 1)
+
+
+def test_variants_are_one_class(spark):
+    """Many items of one template, and windows that all items share, bring a document to few classes."""
+    opening = "choose the right answer of the following four and explain in your own words why"
+    items = [(k, f"Tom has {k + 2} apples. Tom eats 2. How many are left?") for k in range(1, 60)] + [(100 + k, f"{opening} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} j{k}") for k in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    classes = {r["item_id"]: r["class_id"] for r in decontamination.item_classes(bench).collect()}
+    assert {classes[k] for k in range(1, 60)} == {1} | ({2} if classes[2] == 2 else set()) and all(classes[100 + k] == 100 + k for k in range(50))
+    docs = spark.createDataFrame([(1, "Ann has 9 apples. Ann eats 4. How many are left?"), (2, opening), (3, items[-1][1])], "doc_id long, text string")
+    found = [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()]
+    assert (1, 1) in found and (3, 149) in found and {d for d, _ in found} == {1, 3} and len(found) <= 3
+
+
+def test_rare_windows_lose_nothing():
+    """Of n windows, a share of them always has one among the n - ceil(share * n) + 1 first in any order."""
+    rnd = random.Random(3)
+    for _ in range(500):
+        n, share = rnd.randint(1, 30), rnd.choice([0.3, 0.5, 0.8, 1.0])
+        least = -(-n * share // 1)
+        held = set(rnd.sample(range(n), int(least)))
+        assert held & set(range(int(n - least + 1)))
 
 
 def test_leaks_against_all_windows(spark, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    codes = decontamination.Codes()
+    codes = decontamination.Codes(plain=decontamination.plain_words(spark.read.parquet(f"{SF}/benchmark.parquet"), "text"))
     want = set()
     items = [(b["item_id"], *decontamination.template(b["text"], codes)) for b in bench]
     for d, r in documents.items():

@@ -1,5 +1,6 @@
 """Links of the pipeline's near-duplicate stage against the Jaccard similarity of the shingle sets themselves."""
 
+import math
 import random
 
 import numpy as np
@@ -49,7 +50,7 @@ def test_large_groups_are_cut(spark, monkeypatch, rows):
         for i in rnd.sample(range(200), rnd.choice([1, 2, 5, 6])):
             t[i] = f"n{k}x{i}"
         texts.append(" ".join(t))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 15, 0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 18, 0.8).collect()}
     want = list(range(40))
     for _ in range(40):
         for a in range(40):
@@ -66,3 +67,30 @@ def test_equal_sets_are_one_node(spark):
     df = spark.createDataFrame([(1, f"{a} {a}"), (2, " ".join([a] * 9)), (3, " ".join(f"u{i}" for i in range(50)))], "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == {1, 3}
     assert simhash.fingerprints(df, 5, True).select("_set").distinct().count() == 2
+
+
+@pytest.mark.parametrize("n", [1000, 256_000, 1_000_000, 14_000_000, 140_000_000])
+def test_rows_of_a_node_stay_few(n):
+    """Whatever the number of nodes, a node has few rows, copies for the blocks of large places included, and the asked recall."""
+    rng = np.random.default_rng(1)
+    sample = rng.integers(0, 256, (2000, simhash.PERMUTATIONS)).astype(np.uint8)
+    ws = simhash.widths(sample, n, 0.8)
+    assert sum(max(1.0, n * 256.0**-w / simhash.BLOCK) for w in ws) <= 20 and sum(ws) <= simhash.PERMUTATIONS
+    assert np.prod([1 - (0.8 + 0.2 / 256) ** w for w in ws]) <= 1 - simhash.RECALL + 0.001
+    p = simhash.plan(rng.integers(0, 2**63, 2000).astype(np.uint64) * np.uint64(2), min(n, 14_000_000), 4)
+    rows = [sum(math.comb(len(part), j) for j in range(t + 1)) for part, t in zip(p.parts, p.thresholds)]
+    assert sum(r * max(1.0, min(n, 14_000_000) * r / 2.0 ** len(part) / simhash.BLOCK) for r, part in zip(rows, p.parts)) <= 20
+
+
+def test_signature_partitions_against_all_pairs(spark):
+    """Two nodes meet in a partition exactly if all its places agree."""
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(0, 3, (60, simhash.PERMUTATIONS)).astype(np.uint8)
+    nodes = spark.createDataFrame([(i, 0, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "_id long, _fp long, _sig binary")
+    got = {}
+    for r in simhash._signature_rows(nodes, (2, 1, 3), False).collect():
+        got.setdefault((r["_part"], r["_key"]), set()).add(r["_id"])
+    for part, (a, b) in enumerate([(0, 2), (2, 3), (3, 6)]):
+        for i in range(60):
+            for j in range(i):
+                assert any(p == part and {i, j} <= ids for (p, _), ids in got.items()) == bool((sigs[i, a:b] == sigs[j, a:b]).all())

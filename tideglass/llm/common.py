@@ -31,14 +31,22 @@ def word_count(text: Column) -> Column:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and cuts its lineage.
 
-    The cluster names the folder in spark.checkpoint.dir; a temporary one serves only where it is unset (tests).
+    The cluster names the folder in spark.checkpoint.dir; a temporary one serves only where it is unset and all is on one machine (tests).
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a local master, and an error on any other."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,12 +3,15 @@
 Texts and notices are brought to one form: A-Z lower-cased, words joined by single spaces. A notice that may have k edits is split into
 k + 1 seeds; whatever edits there are, one seed stands unchanged (pigeonhole). An Aho-Corasick automaton finds all seeds of all notices in one
 pass; around each, the regex library looks for the notice with at most k insertions, deletions and substitutions. Exact
-places of a notice are among these, with no edit.
+places of a notice are among these, with no edit. Words that name the license (`mit`, a version's number, `lesser`) must stand as they
+are: edits fall on the others.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,12 +47,26 @@ NOTICES = (
     ("all rights reserved", "all-rights-reserved"),
 )
 
+#: Words that tell a license from others.
+NAMING = frozenset("mit apache mozilla eclipse lesser affero noncommercial sharealike 0 2 3 4".split())
+
 
 def edits(notice: str) -> int:
     """One edit for every ten characters, three at most; a notice under twelve characters must be exact."""
     return 0 if len(notice) < 12 else min(3, len(notice) // 10)
 
 
+def parts(notice: str) -> list[tuple[str, bool]]:
+    """The notice as runs of words that name the license (True) and of others (False)."""
+    return [(" ".join(words), names) for names, words in itertools.groupby(notice.split(" "), NAMING.__contains__)]
+
+
+def fuzzy(notice: str, k: int) -> regex.Pattern:
+    """The notice between spaces, with at most k edits in each run of words that name nothing."""
+    each = (regex.escape(words, special_only=True) if names else rf"(?:{regex.escape(words, special_only=True)}){{e<={k}}}" for words, names in parts(notice))
+    return regex.compile(f"(?e) {' '.join(each)} ")
+
+
 def seeds(notice: str, k: int) -> list[tuple[int, str]]:
     """k + 1 pieces of nearly equal length that make up the notice, with their offsets."""
     cut = [len(notice) * i // (k + 1) for i in range(k + 2)]
@@ -74,8 +91,7 @@ class Scanner:
         self.notices, self.patterns, at = notices, [], {}
         for n, (phrase, _) in enumerate(notices):
             k = edits(phrase)
-            word = regex.escape(phrase, special_only=True)
-            self.patterns.append((phrase, k, regex.compile(rf"(?e) (?:{word}){{e<={k}}} ") if k else None))
+            self.patterns.append((phrase, k, fuzzy(phrase, k) if k else None))
             for offset, piece in seeds(phrase, k):
                 at.setdefault(piece, []).append((n, offset))
         self.automaton = ahocorasick.Automaton()
@@ -85,8 +101,9 @@ class Scanner:
 
     def __call__(self, words: list[str]) -> list[Span]:
         """All exact places of the notices and, between those of a notice, its inexact ones from left to right, in the order of
-        their starts."""
+        their starts. Time grows in proportion to the text."""
         text = f" {' '.join(words)} "
+        spaces = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))  # spaces[i] stands before word i
         ranges: dict[int, list[list[int]]] = {}
         for end, (length, uses) in self.automaton.iter(text):
             for n, offset in uses:
@@ -101,8 +118,8 @@ class Scanner:
         found: list[Span] = []
 
         def add(n: int, s: int, t: int, e: int) -> None:
-            first = text.count(" ", 0, s) - 1
-            found.append(Span(first, first + text.count(" ", s, t), s - 1, t - 1, n, self.notices[n][1], e))
+            first = bisect_left(spaces, s) - 1
+            found.append(Span(first, bisect_left(spaces, t) - 1, s - 1, t - 1, n, self.notices[n][1], e))
 
         for n, own in ranges.items():
             phrase, k, pattern = self.patterns[n]
@@ -112,6 +129,9 @@ class Scanner:
                 free, s = a, text.find(exact, a, b)
                 while s >= 0 or pattern:
                     while pattern and (m := pattern.search(text, free, b if s < 0 else s + 1)):
+                        if sum(m.fuzzy_counts) > k:  # each run of words keeps to k, all together do not
+                            free = m.start() + 1
+                            continue
                         add(n, m.start() + 1, m.end() - 1, sum(m.fuzzy_counts))
                         free = m.end() - 1
                     if s < 0:
@@ -121,9 +141,11 @@ class Scanner:
                 at = max(at, free)
         # Where notices overlap, as versions of one license do, an inexact one gives way to those with fewer edits.
         kept: list[Span] = []
+        taken = bytearray(len(text))
         for x in sorted(set(found), key=lambda x: (x.edits, x.start, x.end, x.notice)):
-            if not x.edits or all(x.end <= y.start or x.start >= y.end for y in kept):
+            if not x.edits or taken.find(1, x.start, x.end) < 0:
                 kept.append(x)
+                taken[x.start : x.end] = b"\1" * (x.end - x.start)
         return sorted(kept, key=lambda x: (x.start, x.end, x.notice))
 
 
@@ -142,8 +164,10 @@ SPANS = "array<struct<label:string,notice:string,first_word:long,last_word:long,
 
 
 def license_spans(df: DataFrame, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id_col, n_words and spans (SPANS) for every row; a null text has no words and no spans. Rows are only mapped; ids may be null
-    or repeat; other columns are ignored."""
+    """Returns id_col, n_words and spans (SPANS) for every row; a null or empty text has no words and no spans; long texts are read whole, in
+    time that grows in proportion. Of overlapping notices with equally many edits the first, then the shorter, then the first of `notices`
+    counts; exact ones all do. Rows are only mapped, so repeated rows stay; ids may be null or repeat; other columns are ignored; an empty
+    table gives no rows."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,8 @@ from tideglass.llm.common import checkpoint, word_count
 WEIGHTS = (3, 1, 2)
 #: A bucket is the first three hex digits of a row's key: 4096 ranges of each source.
 BUCKET_DIGITS = 3
-#: Most rows (sources times buckets, about 100 bytes each) of the plan that are broadcast; beyond it, the join is shuffled.
-BROADCAST_PLAN_ROWS = 250_000
+#: Most sources (a row of about 100 bytes each) whose plan is broadcast; beyond it, the join is shuffled.
+BROADCAST_SOURCES = 250_000
 
 
 def targets(sources: DataFrame, share: float, cap: int, weights: tuple[int, ...]) -> DataFrame:
@@ -46,20 +46,24 @@ def mix(df: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...
     size = word_count(F.col("text")) if size is None else size
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     src = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), size.alias("_size"), key.alias("_key"), src.alias("_src")).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    sums = checkpoint(rows.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_words")))
+    bucket = F.substring(key, 1, BUCKET_DIGITS)
+    sums = checkpoint(df.select(size.alias("_size"), src.alias("_src"), bucket.alias("_bucket")).groupBy("_src", "_bucket").agg(F.sum("_size").alias("_words")))
     sources = sums.groupBy("_src").agg(F.sum("_words").alias("source_size")).withColumn("_source", F.when(~F.col("_src.none"), F.col("_src.name"))).drop("_src")
     plan = targets(sources, share, cap, weights).withColumn("_budget", F.floor(F.col("target") + 0.5)).withColumn("_epochs", F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0)))
     plan = plan.select(F.struct(F.col("_source").isNull().alias("none"), F.coalesce("_source", F.lit("")).alias("name")).alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_epochs", (F.col("_budget") - F.col("_epochs") * F.col("source_size")).alias("_rest"))
+    # A source's rest ends in one bucket: buckets before it are taken whole, later ones not.
     before = F.sum("_words").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("_words")
-    buckets = checkpoint(sums.withColumn("_before", before).join(plan, "_src").withColumn("_cut", (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest"))).drop("_words"))
-    buckets = F.broadcast(buckets) if buckets.count() <= BROADCAST_PLAN_ROWS else buckets
-    joined = rows.join(buckets, ["_src", "_bucket"])
-    # All of a bucket lies on one side of the cut, but for one bucket of each source: only that is sorted.
-    whole = joined.filter(~F.col("_cut")).withColumn("_more", F.when(F.col("_before") < F.col("_rest"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
+    cuts = sums.withColumn("_before", before).join(plan.select("_src", "_rest"), "_src").filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_words") >= F.col("_rest"))).select("_src", F.col("_bucket").alias("_cut"), "_before")
+    plan = checkpoint(plan.join(cuts, "_src", "left"))
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    # Words are counted after a row is known to lie in the cut's bucket or outside it, so each row's are counted once; the bucket alone is sorted.
+    wide = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), size.alias("_size"), key.alias("_key"), src.alias("_src"), bucket.alias("_bucket"))
+    joined = wide.join(plan, "_src")
+    at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    whole = joined.filter(~at_cut).withColumn("_more", F.when(F.col("_bucket") < F.col("_cut"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
     order = Window.partitionBy("_src", "_bucket").orderBy("_key", "_id", "_size")
     at = F.col("_before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    cut = joined.filter("_cut").withColumn("_more", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - at)).cast("long"))
+    cut = joined.filter(at_cut).withColumn("_more", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - at)).cast("long"))
     out = whole.unionByName(cut).withColumn("_taken", (F.col("_epochs") * F.col("_size") + F.col("_more")).cast("long"))
     return out.select("_row", "_size", "_source_size", "_target", "_taken")
 

@@ -40,11 +40,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = quality.base_rules(F.col("n_words"), F.col("n_repeat_words"))
-    added = quality.added_rules(*map(F.col, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "_n_lines")))
-    out = quality.cascade(df, [*base, *added])
-    return out.withColumn("base_failed", base[0].rejects | base[1].rejects).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The cascade judges raw texts and stops at a rule that rejects; the contract's measures of every row stand beside it.
+    out = quality.measured(quality.cascade(docs, quality.text_rules(F.col("text"))))
+    few, repeated = quality.base_rules(F.col("n_words"), F.col("n_repeat_words"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (few.rejects | repeated.rejects).alias("base_failed"), "kept")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ sum(t_i) = radius - m + 1 some partition i differs in at most t_i bits (t_i = -1
 dynamic programming over the candidate counts that a sample predicts. Every distinct fingerprint is indexed under its own partition values and probes
 all values within t_i; what meets is verified by its full distance. A meeting place is bounded: large ones are cut into blocks and every
 pair of blocks is a task of its own, and a task returns a spanning forest of its links, never all pairs.
+
+Sets of shingles whose Jaccard similarity counts need a radius of 15 and more, at which 64 bits keep little apart: partitions have 4 or 5 bits
+then, and work grows with the square of the rows. There the partitioned bits are those of a longer signature. Its bits go together by
+eights (a place of the signature agrees or differs as a whole), a partition is a run of places that must agree, and the widths of the partitions come
+from dynamic programming over the candidate counts that a sample predicts, for a stated recall. What meets is verified on the sets.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ SAMPLE = 2000
 BLOCK = 16384
 #: Cost of emitting one probe row, in verified pairs.
 PROBE_COST = 2000
+#: Share of the pairs at the least similarity asked for that some partition of the signature must bring together.
+RECALL = 0.98
+#: Most large meeting places (about 24 bytes each) that are broadcast; beyond it, the join that finds them is shuffled.
+BROADCAST_PLACES = 2_000_000
 #: Most keys of dropped rows that are broadcast; beyond it, the join that drops them is shuffled.
 BROADCAST_KEYS = 2_000_000
 #: Signature length for similarity, in bytes; the estimate's standard error at .8 is sqrt(.8 * .2 / 128) = .035.
@@ -149,9 +158,14 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, tuple[int, ..
     return best.get(total, (math.inf, ()))
 
 
+def _cost(n: int, rows: int, share: float) -> float:
+    """Of a partition under which each of n nodes has so many rows and a share of all pairs meets: a row is copied for each block of its place."""
+    return n * n / 2 * share + n * rows * PROBE_COST * max(1.0, n * share / BLOCK)
+
+
 def plan(sample: np.ndarray, n: int, radius: int) -> Plan:
-    """The cheapest partitioning and thresholds for n distinct fingerprints: each candidate pair costs 1, each probe row PROBE_COST.
-    Candidate counts are estimated from the sample's pairs."""
+    """The cheapest partitioning and thresholds for n distinct fingerprints: each candidate pair costs 1, each probe row PROBE_COST, as often as
+    it is copied. Candidate counts are estimated from the sample's pairs."""
     sample = sample[:SAMPLE]
     k = min(len(sample), 1000)
     pairs = (sample[:k, None] ^ sample[None, :k])[np.triu_indices(k, 1)] if k > 1 else np.zeros(0, dtype=np.uint64)
@@ -166,7 +180,7 @@ def plan(sample: np.ndarray, n: int, radius: int) -> Plan:
                 ball = sum(math.comb(len(p), j) for j in range(t + 1))
                 # A sample sees no rare event: at least what independent even bits would give.
                 share = max(float((d <= t).mean()) if len(d) else 0.0, ball / 2.0 ** len(p))
-                row.append(n * n / 2 * share + n * ball * PROBE_COST)
+                row.append(_cost(n, ball, share))
                 if ball > 1e7:
                     break
             costs.append(row)
@@ -176,6 +190,35 @@ def plan(sample: np.ndarray, n: int, radius: int) -> Plan:
     return best[1]
 
 
+def widths(sample: np.ndarray, n: int, similarity: float, recall: float = RECALL) -> tuple[int, ...]:
+    """How many places of the signature each partition takes, at the least cost for n nodes so that two sets of this similarity agree in all
+    places of some partition with a chance of at least `recall`: dynamic programming over (chance, places used). sample: signatures, a row each."""
+    k = min(len(sample), 500)
+    agree = np.concatenate([(sample[i] == sample[i + 1 : k]).mean(axis=1) for i in range(k - 1)]) if k > 1 else np.zeros(0)
+    same = similarity + (1 - similarity) / 256
+    unit = 0.02  # of -log(chance to miss)
+    goal = math.ceil(-math.log(1 - recall) / unit)
+    options = []
+    for w in range(1, 9):
+        share = max(float((agree**w).mean()) if len(agree) else 0.0, 256.0**-w)
+        options.append((w, int(-math.log(1 - same**w) / unit), _cost(n, 1, share)))
+    best: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {(0, 0): (0.0, ())}
+    found = None
+    while best:
+        nxt: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}
+        for (gain, used), (cost, ws) in best.items():
+            for w, g, c in options:
+                if used + w > PERMUTATIONS or g < 1 or (ws and w > ws[-1]) or (found and cost + c >= found[0]):
+                    continue
+                to = (min(goal, gain + g), used + w)
+                if to not in nxt or cost + c < nxt[to][0]:
+                    nxt[to] = (cost + c, (*ws, w))
+                if to[0] == goal:
+                    found = (cost + c, (*ws, w))
+        best = {k: v for k, v in nxt.items() if k[0] < goal}
+    return found[1] if found else (1,) * PERMUTATIONS
+
+
 def _values(fps: np.ndarray, part: tuple[int, ...]) -> np.ndarray:
     out = np.zeros(len(fps), dtype=np.int64)
     for k, b in enumerate(part):
@@ -183,10 +226,10 @@ def _values(fps: np.ndarray, part: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def _probes(nodes: DataFrame, p: Plan, sig: bool) -> DataFrame:
-    """_part, _key, _probe (0: indexed under its own value; 1: a neighbouring value), _id, _fp, _sig."""
+def _probes(nodes: DataFrame, p: Plan) -> DataFrame:
+    """_part, _key, _probe (0: indexed under its own value; 1: a neighbouring value), _id, _fp."""
     offsets = [[sum(1 << b for b in c) for j in range(t + 1) for c in itertools.combinations(range(len(part)), j)] for part, t in zip(p.parts, p.thresholds)]
-    names = ["_part", "_key", "_probe", "_id", "_fp", "_sig"][: 5 + sig]
+    names = ["_part", "_key", "_probe", "_id", "_fp"]
 
     def run(batches):
         for batch in batches:
@@ -197,7 +240,25 @@ def _probes(nodes: DataFrame, p: Plan, sig: bool) -> DataFrame:
                     columns = [pa.array(np.full(len(fps), i, dtype=np.int32)), pa.array(own ^ f), pa.array(np.full(len(fps), int(f != 0), dtype=np.int8))]
                     yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in names[3:]], names)
 
-    return nodes.select(*names[3:]).mapInArrow(trimmed(run), "_part int, _key long, _probe byte, _id long, _fp long" + ", _sig binary" * sig)
+    return nodes.select(*names[3:]).mapInArrow(trimmed(run), "_part int, _key long, _probe byte, _id long, _fp long")
+
+
+def _signature_rows(nodes: DataFrame, ws: tuple[int, ...], sig: bool = True) -> DataFrame:
+    """_part, _key (the bytes of the partition's places), _probe (0), _id, _fp and, with sig, _sig."""
+    names = ["_part", "_key", "_probe", "_id", "_fp", "_sig"][: 5 + sig]
+
+    def run(batches):
+        for batch in batches:
+            n, at = batch.num_rows, 0
+            sigs = np.frombuffer(b"".join(batch.column("_sig").to_pylist()), dtype=np.uint8).reshape(n, PERMUTATIONS)
+            for i, w in enumerate(ws):
+                key = np.zeros((n, 8), dtype=np.uint8)
+                key[:, :w] = sigs[:, at : at + w]
+                at += w
+                columns = [pa.array(np.full(n, i, dtype=np.int32)), pa.array(key.view("<i8").reshape(n)), pa.array(np.zeros(n, dtype=np.int8))]
+                yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in names[3:]], names)
+
+    return nodes.select("_id", "_fp", "_sig").mapInArrow(trimmed(run), "_part int, _key long, _probe byte, _id long, _fp long" + ", _sig binary" * sig)
 
 
 def _forest(ids: np.ndarray, fps: np.ndarray, sigs: np.ndarray | None, left: np.ndarray, right: np.ndarray, radius: int, similar: float) -> list[tuple[int, int]]:
@@ -258,21 +319,26 @@ def _stars(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) -> DataFrame:
-    """(u, v): links between nodes (_id, distinct _fp or distinct (_fp, _sig)) enough to connect all that are within radius and, given
-    min_similarity, whose signatures agree in that share of places."""
+    """(u, v): links between nodes (_id, distinct _fp or distinct (_fp, _sig)) enough to connect all that are within radius. Given
+    min_similarity, nodes that agree in all places of a partition of the signature meet, and those link that are within radius and
+    whose signatures agree in a share of places of at least min_similarity less SLACK."""
     sig = min_similarity is not None
     n = nodes.count()
-    sample = np.array([r[0] for r in nodes.select("_fp").orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    p = plan(sample, n, radius)
-    rows = _probes(nodes, p, sig)
+    sample = nodes.select("_fp", *(["_sig"] if sig else [])).orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).collect()
+    if sig:
+        ws = widths(np.frombuffer(b"".join(r["_sig"] for r in sample), dtype=np.uint8).reshape(-1, PERMUTATIONS), n, min_similarity)
+        rows, places, probes = _signature_rows(nodes, ws), _signature_rows(nodes, ws, False), len(ws)
+    else:
+        p = plan(np.array([r["_fp"] for r in sample], dtype=np.int64).view(np.uint64), n, radius)
+        rows = places = _probes(nodes, p)
+        probes = sum(math.comb(len(part), j) for part, t in zip(p.parts, p.thresholds) for j in range(t + 1))
     # Meeting places that are too large: at most (rows / BLOCK) of them.
-    probes = sum(math.comb(len(part), j) for part, t in zip(p.parts, p.thresholds) for j in range(t + 1))
-    large = checkpoint(_probes(nodes.select("_id", "_fp"), p, False).groupBy("_part", "_key").count().filter(F.col("count") > BLOCK).select("_part", "_key", F.ceil(F.col("count") / BLOCK).cast("int").alias("_blocks")))
-    large = F.broadcast(large) if n * probes <= 200_000 * BLOCK else large
+    large = checkpoint(places.groupBy("_part", "_key").count().filter(F.col("count") > BLOCK).select("_part", "_key", F.ceil(F.col("count") / BLOCK).cast("int").alias("_blocks")))
+    large = F.broadcast(large) if n * probes <= BROADCAST_PLACES * BLOCK else large
     rows = rows.join(large, ["_part", "_key"], "left").withColumns({"_blocks": F.coalesce("_blocks", F.lit(1)), "_block": F.pmod(F.xxhash64("_id"), F.coalesce("_blocks", F.lit(1))).cast("int")})
     rows = rows.select("*", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_other")).withColumns({"_a": F.least("_block", "_other"), "_b": F.greatest("_block", "_other")}).drop("_blocks", "_other")
     place = ["_part", "_key", "_a", "_b"]
-    similar = min_similarity or 0
+    similar = max(0.0, min_similarity - SLACK) if sig else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -414,8 +480,9 @@ def verified(df: DataFrame, nodes: DataFrame, loose: DataFrame, shingle: int, si
 def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, min_similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, fingerprint (16 hex digits), component_id (least id reachable over links) for every row.
 
-    Rows link if their fingerprints differ in at most `radius` bits. Given min_similarity, fingerprints (of the sets of shingles) and
-    signatures, held against a lower bar, only choose candidates, and of these rows link whose sets have at least that Jaccard similarity.
+    Rows link if their fingerprints differ in at most `radius` bits. Given min_similarity, partitions of signatures of the sets of shingles bring
+    rows together, fingerprints (of the sets) and whole signatures, held against a lower bar, leave candidates, and of these rows link
+    whose sets have at least that Jaccard similarity; a pair at exactly that similarity is a candidate with a chance of about RECALL.
     Equal fingerprints (or sets) are one node from the start, so copies never make pairs. Null and word-less texts have fingerprint 0 and
     link like others (given min_similarity, with each other); repeated ids are told apart by their fingerprints; a null id is in the
     component of its text, and never names it unless all its ids are null. An empty table gives no rows; other columns are ignored.
@@ -432,7 +499,7 @@ def _named(df: DataFrame, shingle: int, radius: int, min_similarity: float | Non
     # A fingerprint, or the 64-bit hash of a set, is its node's own number (two of n sets meet with a chance of n * n / 2**65).
     of_set = [F.first("_near").alias("_fp"), F.first("_sig").alias("_sig"), F.first("_size").alias("_size"), F.min("_key").alias("_row")]
     nodes = checkpoint(rows.groupBy(F.col(key).alias("_id")).agg(F.min("_id").alias("_least"), *(of_set if sets else [F.first("_fp").alias("_fp")])))
-    found = components(links(nodes, radius, max(0.0, min_similarity - SLACK) if sets else None))
+    found = components(links(nodes, radius, min_similarity))
     if sets:
         found = components(verified(df, nodes, found, shingle, min_similarity, id_col, text_col))
     by_node = nodes.join(found, nodes._id == found.node, "left").select(F.col("_id").alias(key), "_least", F.coalesce("component", "_id").alias("_c"))
@@ -441,8 +508,9 @@ def _named(df: DataFrame, shingle: int, radius: int, min_similarity: float | Non
     return rows.join(named, key).select("_id", "_key", "_fp", "component_id", "_c")
 
 
-def one_of_each(df: DataFrame, shingle: int = 5, radius: int = 15, min_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component: that with the least id (null last). Of rows equal in id and text one stays."""
+def one_of_each(df: DataFrame, shingle: int = 5, radius: int = 18, min_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component: that with the least id (null last). Of rows equal in id and text one stays. Rows
+    are told by a 64-bit hash of id and text: two of n distinct rows have one hash with a chance of n * n / 2**65."""
     rows = checkpoint(_named(df, shingle, radius, min_similarity, id_col, text_col).select("_id", "_key", "_c"))
     first = rows.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_first"))
     lost = checkpoint(rows.join(first, "_c").filter("_key != _first").select("_key").distinct())

@@ -2,12 +2,15 @@
 
 Texts are cut at safe boundaries: before a white-space character that follows a character which is not white space, and before ASCII
 punctuation that follows a Latin letter. A byte-level BPE pre-tokenizer ends a token there in any case, so the pieces' ids, joined, are
-the text's. Pieces repeat, so each Python worker keeps the ids of the pieces that it has seen, up to a fixed number;
-the library encodes the others.
+the text's. Pieces repeat, so each Python worker keeps the ids (or their number) of the pieces that it has seen, up to a fixed number.
+Counts are taken for batches of about equal bytes: what a batch has that is not known is gathered and encoded by the library in groups of
+about equal bytes, of which only lengths are read. A tokenizer for which the boundaries are not known to be safe encodes whole texts.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 import struct
@@ -23,6 +26,8 @@ from tideglass.llm.common import trimmed
 
 #: Text bytes of a batch (Arrow batches are cut again to that), and words and pieces that a worker keeps of at most KEEP_CHARS characters.
 BATCH_BYTES, KEEP, KEEP_CHARS = 4 << 20, 350_000, 48
+#: Bytes of the pieces that are encoded by one call.
+GROUP_BYTES = 1 << 13
 #: Latin letters, and what may follow them where a piece ends. Letters' tokens end before ASCII punctuation too.
 LETTER, END = "A-Za-zÀ-ÖØ-öø-ʯ", r"\s!-/:-@\[-`{-~"
 PIECE = re.compile(rf"\s*+[^\s{LETTER}]*+[{LETTER}]++(?![^{END}])|\s*+[^\s{LETTER}]++(?!\S)|\s*\S+|\s+")
@@ -36,6 +41,25 @@ def pieces(text: str) -> list[str]:
     return PIECE.findall(text) if ODD.search(text) is None else SAFE.split(text)
 
 
+def safe_boundaries(spec: str) -> bool:
+    """Whether the tokenizer (its JSON) is one whose tokens end where pieces do: byte-level BPE behind its own pattern, which neither
+    normalizes nor drops anything and whose added tokens all begin with `<|`."""
+    d = json.loads(spec)
+    cut, model = d.get("pre_tokenizer") or {}, d.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return bool(plain and model.get("type") == "BPE" and not model.get("dropout") and not d.get("normalizer") and not d.get("truncation") and not d.get("padding") and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in d.get("added_tokens") or []))
+
+
+def _even(word: str) -> bool:
+    """Whether the word, as split at single spaces (a line end stays before its word), has no white space but that line end."""
+    edge = word[1:2] if word[:1] == "\n" else word[:1]
+    return bool(edge) and not edge.isspace() and not word[-1].isspace()
+
+
+def _after_space(word: str) -> list[str]:
+    return PIECE.findall(word if word[0] == "\n" else " " + word)
+
+
 class _Uneven(Exception):
     """White space that is not one space between two words."""
 
@@ -65,18 +89,20 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.value, self.join = Tokenizer.from_str(spec), value, join
+        self.safe = safe_boundaries(spec)
         self.pieces, self.words = _Memo(self._encode, keep), _Memo(self._word, keep)
 
     def _encode(self, piece: str):
         return self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def _word(self, word: str):
-        edge = word[1:2] if word[:1] == "\n" else word[:1]
-        if not edge or edge.isspace() or word[-1].isspace():
+        if not _even(word):
             raise _Uneven
-        return self.join(map(self.pieces.__getitem__, PIECE.findall(word if word[0] == "\n" else " " + word)))
+        return self.join(map(self.pieces.__getitem__, _after_space(word)))
 
     def __call__(self, text: str):
+        if not self.safe:
+            return self._encode(text)
         if ODD.search(text) is None:
             first, *rest = text.replace("\n", " \n").split(" ")
             if first and not first[-1].isspace():
@@ -105,8 +131,67 @@ def as_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def length_encoder(key: str, spec: str) -> PieceEncoder:
-    return encoder(key, spec, len, sum)
+class BatchCounter:
+    """Token counts of batches of texts. Words and pieces that a worker met first stay known, `keep` of each; what else a batch has is known
+    until its end."""
+
+    def __init__(self, spec: str, keep: int = KEEP):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.keep, self.safe = Tokenizer.from_str(spec), keep, safe_boundaries(spec)
+        self.pieces: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+
+    def _split(self, text: str) -> tuple[list[str], list[str], set[str]]:
+        """(pieces, words that follow a space or begin a line, those of them that are not known) of the text."""
+        if not self.safe:
+            return [text], [], set()
+        if ODD.search(text) is None:
+            first, *words = text.replace("\n", " \n").split(" ")
+            if first and not first[-1].isspace():
+                new = set(words).difference(self.words)
+                if all(map(_even, new)):
+                    return PIECE.findall(first), words, new
+        return pieces(text), [], set()
+
+    def _encoded(self, new: list[str]) -> dict[str, int]:
+        """Lengths of pieces by the library, in calls of about GROUP_BYTES bytes."""
+        out: dict[str, int] = {}
+        sizes = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in new])
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // GROUP_BYTES)) + 1).tolist(), len(new)]
+        for a, b in zip(cuts, cuts[1:]):
+            out.update(zip(new[a:b], map(len, self.tokenizer.encode_batch_fast(new[a:b], add_special_tokens=False))))
+        return out
+
+    def _learn(self, known: dict[str, int], new: dict[str, int]) -> list[str]:
+        """Adds new to known; what is to be forgotten after the batch."""
+        room = self.keep - len(known)
+        known.update(new)
+        short = [k for k in new if len(k) <= KEEP_CHARS]
+        return [k for k in new if len(k) > KEEP_CHARS] + short[max(0, room) :]
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        parts = [self._split(t) for t in texts]
+        words = {w: _after_space(w) for w in set().union(*(new for _, _, new in parts))}
+        needed = set(itertools.chain(*(ps for ps, _, _ in parts), *words.values())).difference(self.pieces)
+        forget = self._learn(self.pieces, self._encoded(list(needed)))
+        of_piece = self.pieces.__getitem__
+        later = self._learn(self.words, {w: sum(map(of_piece, ps)) for w, ps in words.items()})
+        of_word = self.words.__getitem__
+        out = [sum(map(of_piece, ps)) + sum(map(of_word, ws)) for ps, ws, _ in parts]
+        for k in forget:
+            del self.pieces[k]
+        for k in later:
+            del self.words[k]
+        return out
+
+
+def batch_counter(key: str, spec: str) -> BatchCounter:
+    """The worker's counter, kept between tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if (key, BatchCounter) not in _encoders:
+        _encoders[key, BatchCounter] = BatchCounter(spec)
+    return _encoders[key, BatchCounter]
 
 
 def bytes_encoder(key: str, spec: str) -> PieceEncoder:
@@ -134,9 +219,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 512, id_col: s
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        count = length_encoder(tokenizer_path, spec.value)
+        count = batch_counter(tokenizer_path, spec.value)
         for batch in by_bytes(batches, "text"):
-            n = pa.array([count(t.as_py()) for t in batch.column("text")], pa.int64())
+            n = pa.array(count(batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pc.cast(pc.binary_length(batch.column("text")), pa.int64()), n, pc.greater(n, limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -1,12 +1,13 @@
 """Toxicity by compression distance.
 
-Words are written as 8-byte codes, so that a compressor can match whole words and phrases alone. Two zstandard dictionaries are made
-from labelled texts: one of the words that mark toxic texts, one of the words that mark ordinary texts, each followed by the same common
-words. A text is cut into windows of WINDOW words; a window gains the bytes that the toxic dictionary saves against the ordinary one, if
-they are at least `least`, and loses `drift`. The run of windows with the largest sum counts, so that ordinary text around a passage does not.
-Long ordinary texts have such runs by chance: of n windows, one of a sum over x with a chance of about n * exp(-rate * x). The distance is
-rate * x - log(n), so it does not grow with the length of ordinary text. Distances of labelled texts under dictionaries that did not see
-them calibrate `least`, `drift`, `rate` and a logistic curve from distance to score.
+Words are written as 8-byte codes, so that a compressor matches whole words and phrases alone. Two zstandard dictionaries are trained on
+labelled texts: each is made of runs of words as they stand in texts of its kind, chosen for what sets the kind apart, followed by the same
+runs of common words. A phrase of a dictionary that a text repeats in its order is one match; the same words in another order are several,
+which cost more. A text is cut into windows of WINDOW words; a window gains the bytes that the toxic dictionary saves against the ordinary
+one, if they are at least `least`, and loses `drift`. The run of windows with the largest sum counts, so that ordinary text around a passage
+does not. Long ordinary texts have such runs by chance: of n windows, one of a sum over x with a chance of about n * exp(-rate * x). The
+distance is rate * x - log(n), so it does not grow with the length of ordinary text. Distances of labelled texts under dictionaries that did
+not see them calibrate `least`, `drift`, `rate` and a logistic curve from distance to score.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ from tideglass.llm.common import free_names, trimmed
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 16
-#: Most labelled rows of each kind that the model is fitted on (first by a hash of their ids), and the longest text among them.
-MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 4000, 200_000
-#: Words of a dictionary's own part and of the common part.
+#: Most labelled ids of each kind that the model is fitted on (first by a hash), one text for each, and the longest text among them in bytes:
+#: at most 200 MB reach the driver.
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 4000, 32_768
+#: Most words of a dictionary's own runs, and the number of common words that the shared runs hold.
 OWN_WORDS, COMMON_WORDS = 4096, 4096
-#: A word marks a kind if it stands in at least MIN_PLACES places (texts, and after different words), and its share there is RATIO times the
-#: other kind's.
-MIN_PLACES, RATIO = 3, 20.0
+#: A word sets a kind apart if it stands in at least MIN_PLACES places (texts, and after different runs of CONTEXT words), and its share there is RATIO times
+#: the other kind's. Its weight is that ratio's logarithm; each common word between such words takes GAP from a run's sum of weights.
+MIN_PLACES, RATIO, GAP, CONTEXT = 3, 20.0, 2.0, 8
 REJECT = 0.7
 #: Bytes that a window without savings may lose in a run, of which calibration takes one.
 DRIFTS = (0.125, 0.25, 0.5, 1.0)
@@ -97,32 +99,103 @@ class Model:
 
 
 def _places(texts: list[list[str]], after: bool) -> Counter:
-    """In how many places each word stands: the texts that have it or, if these are fewer and `after`, the words that it follows. Copies of
-    a text count once."""
+    """In how many places each word stands: the texts that have it or, if these are fewer and `after`, the runs of CONTEXT words that it follows,
+    so that a passage which texts share is one place. Copies of a text count once."""
     docs: Counter = Counter()
     follows: Counter = Counter()
     seen: set[int] = set()
     for ws in {tuple(t) for t in texts}:
         docs.update(set(ws))
-        for p, w in zip(("", *ws), ws) if after else ():
-            k = hash((p, w))
+        for i, w in enumerate(ws) if after else ():
+            k = hash((w, *ws[max(0, i - CONTEXT) : i]))
             if k not in seen:
                 seen.add(k)
                 follows[w] += 1
     return Counter({w: min(n, follows[w]) for w, n in docs.items()}) if after else docs
 
 
-def _marking(own: Counter, n_own: int, other: Counter, n_other: int) -> list[str]:
-    found = [(n, w) for w, n in own.items() if n >= MIN_PLACES and n / n_own > RATIO * (other[w] + 0.5) / n_other]
-    return [w for _, w in sorted(found)[-OWN_WORDS:]]
+def _weights(own: list[list[str]], other: list[list[str]]) -> dict[str, float]:
+    """The words that set `own` apart from `other`, with the logarithm of how much more frequent they are there."""
+    a, b = _places(own, True), _places(other, False)
+    n_own, n_other = max(1, len(own)), max(1, len(other))
+    ratio = {w: (n / n_own) / ((b[w] + 0.5) / n_other) for w, n in a.items() if n >= MIN_PLACES}
+    return {w: math.log(r) for w, r in ratio.items() if r > RATIO}
+
+
+def _marked_runs(texts: list[list[str]], weights: dict[str, float], common: set[str]) -> list[tuple[str, ...]]:
+    """Runs of the texts, in their order, that begin and end with words of `weights`: as long as the sum of weights less GAP for each common
+    word between stays above 0 and near its best. A run ends at a word that is neither. Of those by falling sum, the ones that
+    add a word or a pair of neighbours, OWN_WORDS words at most; the best come last. A repetition within a run counts once."""
+    found: dict[tuple[str, ...], float] = {}
+    fall = math.log(RATIO)
+    for t in texts:
+        run: list[str] = []
+        total = best = 0.0
+        length = 0
+        for w in [*t, None]:
+            change = weights.get(w) or (-GAP if w in common else -math.inf)
+            if run and (total + change <= 0 or total + change < best - fall):
+                key = tuple(run[:length])
+                found[key] = max(found.get(key, 0.0), best)
+                run, total, best = [], 0.0, 0.0
+            if change < 0 and not run:
+                continue
+            if not run or run[-1] != w:
+                run.append(w)
+                total += change
+                if total > best:
+                    best, length = total, len(run)
+    known: set = set()
+    out, n = [], 0
+    for run in sorted(found, key=lambda r: (-found[r], r)):
+        adds = {w for w in run if w in weights} | set(zip(run, run[1:]))
+        if adds - known and n + len(run) <= OWN_WORDS:
+            known |= adds
+            out.append(run)
+            n += len(run)
+    return out[::-1]
+
+
+def _common_runs(texts: list[list[str]], common: set[str]) -> list[tuple[str, ...]]:
+    """Runs of common words, WINDOW at most, as they stand in the texts, that together hold each of `common`: first the runs of
+    which at least half is new, longest first, then the parts of others that hold what is left. Those of frequent words come last."""
+    times: Counter = Counter()
+    for t in texts:
+        start = 0
+        for i, w in enumerate([*t, None]):
+            known = w in common
+            if not known or i - start >= WINDOW:
+                if i > start:
+                    times[tuple(t[start:i])] += 1
+                start = i if known else i + 1
+    order = sorted(times, key=lambda r: (-len(set(r)), -times[r], r))
+    held: set[str] = set()
+    out = []
+    for run in order:
+        words_ = set(run)
+        if 2 * len(words_ - held) >= len(words_):
+            out.append(run)
+            held |= words_
+    for run in order:
+        new = [k for k, w in enumerate(run) if w not in held]
+        if new:
+            out.append(run[new[0] : new[-1] + 1])
+            held |= set(run)
+    in_texts = Counter(w for t in texts for w in set(t))
+    return sorted(out, key=lambda r: (max(in_texts[w] for w in r), r))
 
 
 def dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
-    a, b = _places(toxic, True), _places(ordinary, False)
-    n_a, n_b = max(1, len(toxic)), max(1, len(ordinary))
-    common = [w for _, w in sorted((n, w) for w, n in b.items())[-COMMON_WORDS:]]
-    code = lambda ws: b"".join(xxhash.xxh64_digest(w) for w in ws) or bytes(8)
-    return code(_marking(a, n_a, b, n_b) + common), code(_marking(b, n_b, a, n_a) + common)
+    """(toxic, ordinary): the kind's own runs, then runs of common words, which cost the same under both."""
+    in_texts = Counter(w for t in ordinary for w in set(t))
+    common = set(sorted(in_texts, key=lambda w: (-in_texts[w], w))[:COMMON_WORDS])
+    code = lambda runs: b"".join(xxhash.xxh64_digest(w) for r in runs for w in r)
+    own = [_marked_runs(a, _weights(a, b), common) for a, b in ((toxic, ordinary), (ordinary, toxic))]
+    # What common words stand inside own runs is shared as well, so that it sets nothing apart.
+    inside = {tuple(g) for runs in own for r in runs for is_common, g in itertools.groupby(r, common.__contains__) if is_common}
+    both = code([*sorted(g for g in inside if len(g) > 1), *_common_runs(ordinary, common)])
+    # A dictionary's first and last bytes are not searched for: they are zeros.
+    return tuple(bytes(8) + code(runs) + both + bytes(8) for runs in own)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
@@ -190,23 +263,26 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits a model on the rows that are not held out. Labels other than 0 and 1 are left out; a document with both labels is toxic.
-    At most MAX_TOXIC + MAX_ORDINARY texts of at most MAX_BYTES bytes come to the driver."""
+    """Fits a model on the rows that are not held out. Labels other than 0 and 1 are left out; a document with both labels is toxic; of
+    rows with one id the least text counts. At most MAX_TOXIC + MAX_ORDINARY texts of at most MAX_BYTES bytes come to the driver."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").alias("_toxic")).filter("_toxic in (0, 1)").groupBy("_id").agg(F.max("_toxic").alias("_toxic")).filter(~held_out(F.col("_id")))
     counts = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     # The first by hash are found among ids alone; then their texts are fetched, by a broadcast of at most MAX_TOXIC + MAX_ORDINARY ids.
     names = marks.withColumn("_h", F.xxhash64("_id", F.lit("sample")))
     first = names.filter("_toxic = 1").orderBy("_h", "_id").limit(MAX_TOXIC).unionByName(names.filter("_toxic = 0").orderBy("_h", "_id").limit(MAX_ORDINARY))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") <= MAX_BYTES)
-    got = sorted(rows.join(F.broadcast(first), "_id").select("_toxic", "_h", "_id", "_text").collect(), key=lambda r: (r["_h"], r["_id"], r["_text"]))
+    texts = rows.join(F.broadcast(first), "_id").groupBy("_toxic", "_h", "_id").agg(F.min("_text").alias("_text"))
+    got = sorted(texts.collect(), key=lambda r: (r["_h"], r["_id"]))
     kinds = [[r["_text"] for r in got if r["_toxic"] == k] for k in (0, 1)]
     return fit(kinds[1], kinds[0], max(counts.get(1, 0), len(kinds[1])), max(counts.get(0, 0), len(kinds[0])))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a column `name`, the score from 0 to 1 of each whole text; null and word-less texts get that of distance 0. Rows are only
-    mapped, in Arrow batches; the model (at most 128 KB of dictionaries) travels with the function."""
+    """docs with a column `name`, the score from 0 to 1 of each whole text; null and word-less texts get that of distance 0. If docs has a
+    column of that name, the new one has underscores before it (free_names). Repeated rows stay, with one score; an empty table gives no rows.
+    Rows are only mapped, in Arrow batches; the model (some 130 KB of dictionaries, 1 MB at most) travels with the function."""
     fields = docs.schema.fieldNames()
+    (name,) = free_names(fields, name)
     schema = docs.select("*").schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
