@@ -162,3 +162,18 @@ def test_offline_replay_counts():
     assert kinds.count("look") == 50 and kinds.count("crossing") >= 1
     crossing = next(e for e in events if e[1] == "crossing")
     assert crossing[0] in [e[0] for e in events if e[1] == "onset"] and crossing[2] > 0.2
+
+
+@pytest.mark.parametrize("make", [detectors.HddmA, detectors.HddmAWindowed, detectors.HddmW])
+def test_warn_timer_ends_at_a_drift(make):
+    """WARN, DRIFT, WARN: the time of a warning counts from the last row that was not one, in the object as in the window form."""
+    d = make(HddmConfig(warn_timeout=50, window=60, lam=0.05))
+    rnd = np.random.default_rng(3)
+    values = [*(0.1 + 0.02 * rnd.random(300)), *np.linspace(0.1, 0.9, 300), *([0.9] * 100), *np.linspace(0.9, 0.2, 300), *([0.2] * 100)]
+    since, seen = None, set()
+    for n, v in enumerate(values, 1):
+        status = d.update(float(v))
+        since = (since or n) if status is detectors.WARN else None
+        seen.add(status)
+        assert d.warn_from == since and d.warn_timed_out() == (since is not None and n - since >= 50)
+    assert {detectors.WARN, detectors.DRIFT} <= seen

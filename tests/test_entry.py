@@ -1,6 +1,10 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
-from conftest import SF
+from conftest import ROOT, SF
 
 import __spark_entry__ as entry
 from tideglass import queries as core
@@ -35,3 +39,11 @@ def test_sql(spark, name):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert all(x == y or isinstance(x, float) and y == pytest.approx(x, abs=2e-6) for x, y in zip(a, b)), (a, b)
+
+
+def test_core_without_a_corpus_dependency():
+    """A library that only corpus operators need may be missing: the other queries stay."""
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) >= 190 and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert ("left out" in done.stderr) == os.path.isdir(os.path.join(ROOT, "tideglass", "llm"))

@@ -30,17 +30,17 @@ def looks(spark):
 
 def test_every_row(spark, looks):
     q = core.queries()
-    ks = {(r["feature_id"], r["looked"]): r["ks"] for r in q["WIN7_reference_ks_rows"](spark, SF).collect()}
+    ks = {(r["feature_id"], r["looked"]): r["ks"] for r in q["WIN7_reference_ks"](spark, SF).collect()}
     assert ks == pytest.approx({k: np.abs(g).max() / 400 for k, g in looks.items()}, abs=1e-6)
-    excess = {(r["feature_id"], r["looked"]): (r["max_excess"], r["min_excess"]) for r in q["DET1b_excess_counts_rows"](spark, SF).collect()}
+    excess = {(r["feature_id"], r["looked"]): (r["max_excess"], r["min_excess"]) for r in q["DET1b_excess_counts"](spark, SF).collect()}
     assert excess == {k: (g.max(), g.min()) for k, g in looks.items()}
-    fires = {(r["feature_id"], r["looked"]): (r["ks"], r["fires"]) for r in q["DET12_sliding_test_rows"](spark, SF).collect()}
+    fires = {(r["feature_id"], r["looked"]): (r["ks"], r["fires"]) for r in q["DET12_sliding_test"](spark, SF).collect()}
     limit = 1.95 * (2 / 400) ** 0.5
     assert fires == {k: (pytest.approx(x, abs=1e-6), x > limit) for k, g in looks.items() for x in [np.abs(g).max() / 400]}
 
 
 def test_status_of_every_row(spark, looks):
-    rows = core.queries()["DET1_iks_rows"](spark, SF).collect()
+    rows = core.queries()["DET1_iks"](spark, SF).collect()
     assert len(rows) == base.shifted_values(spark, SF).count()
     limit = (-0.5 * np.log(0.001)) ** 0.5 * (2 / 400) ** 0.5
     got = {(r["feature_id"], r["seq"] + 1): r["status"] for r in rows if r["seq"] >= 399}

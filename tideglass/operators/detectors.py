@@ -63,6 +63,7 @@ class _Hddm(DriftDetector):
             self.best = (mean, eps)
         low, (m, e) = mean - eps, self.best
         if low > m + e * self.config.drift_ratio:
+            self.warn_from = None
             return DRIFT
         warn = low > m + e * self.config.warn_ratio
         self.warn_from = (self.warn_from or self.n) if warn else None

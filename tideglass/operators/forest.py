@@ -200,14 +200,15 @@ def nodes_of(forest: DataFrame) -> DataFrame:
 
 def score_by_join(df: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     """seq, version, score by joining rows with the nodes they reach, one level at a time: for forests in a table, of any number of
-    versions; nodes are broadcast by Spark where they are small."""
+    versions; joins are on (version, tree, node), and Spark broadcasts the nodes where they are small. A row starts once for each tree."""
     n = nodes.select("version", "subsample_size", "t", "id", "feature", "threshold", "left", "right", "size")
-    at = df.select("seq", "features").join(F.broadcast(n.filter("id = 0").select("version", "subsample_size", "t").distinct())).withColumns({"node": F.lit(0), "h": F.lit(0.0)})
+    trees = n.filter("id = 0").agg(F.collect_set(F.struct("version", "subsample_size", "t")).alias("_trees"))  # one row, 16 bytes for each tree
+    at = df.select("seq", "features").crossJoin(trees).select("seq", "features", F.explode("_trees").alias("_t")).select("seq", "features", "_t.*").withColumns({"node": F.lit(0), "h": F.lit(0.0)})
     for _ in range(depth):
-        step = at.join(F.broadcast(n.withColumnsRenamed({"version": "_v", "t": "_t", "subsample_size": "_s"})), (F.col("node") == F.col("id")) & (F.col("t") == F.col("_t")) & (F.col("version") == F.col("_v")))
+        step = at.join(n.withColumnsRenamed({"version": "_v", "t": "_t", "subsample_size": "_s"}), (F.col("node") == F.col("id")) & (F.col("t") == F.col("_t")) & (F.col("version") == F.col("_v")))
         inner = F.col("feature") >= 0
         at = step.select("seq", "features", "version", "subsample_size", "t", F.when(inner, F.when(F.get("features", F.col("feature")) < F.col("threshold"), F.col("left")).otherwise(F.col("right"))).otherwise(F.col("node")).alias("node"), (F.col("h") + F.when(inner, 1.0).otherwise(0.0)).alias("h"))
-    leaf = at.join(F.broadcast(n.select(F.col("version").alias("_v"), F.col("t").alias("_t"), "id", "size")), (F.col("node") == F.col("id")) & (F.col("t") == F.col("_t")) & (F.col("version") == F.col("_v")))
+    leaf = at.join(n.select(F.col("version").alias("_v"), F.col("t").alias("_t"), "id", "size"), (F.col("node") == F.col("id")) & (F.col("t") == F.col("_t")) & (F.col("version") == F.col("_v")))
     mean = F.avg(F.col("h") + average_path_length(F.col("size")))
     c = average_path_length(F.first("subsample_size"))
     return leaf.groupBy("seq", "version").agg(F.when(c == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), -mean / c)).alias("score"))

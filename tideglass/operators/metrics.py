@@ -105,9 +105,16 @@ def windows(df: DataFrame, size: int, step: int, first: int = 0, until: Column |
 
 
 def window_metrics(rows: DataFrame, t: float = 0.5, least: int = 100, by: list[str] = ()) -> DataFrame:
+    """by, win_start, n, auc, fpr of windows of at least `least` rows. A window's rows are bounded by its size, so each is ranked in one place, by
+    one exchange: AUC from the positives' mean ranks, ties sharing theirs."""
     keys = [*by, "win_start"]
-    full = confusion(rows, t, keys).filter(F.col("n") >= least).select(*keys, "n", "fpr")
-    return full.join(roc_auc(rows, keys).drop("n"), keys)
+    pos, hot = F.col("label") == 1, F.col("score") >= t
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    rank = F.rank().over(Window.partitionBy(*keys).orderBy("score")) + (F.count("*").over(Window.partitionBy(*keys, "score")) - 1) / 2.0
+    sums = rows.select(*keys, "label", "score").withColumn("_rank", rank).groupBy(*keys).agg(F.count("*").alias("n"), count(pos).alias("_p"), F.sum(F.when(pos, F.col("_rank")).otherwise(0.0)).alias("_ranks"), count(hot & (F.col("label") == 0)).alias("_fp"), count(F.col("label") == 0).alias("_neg"))
+    p = F.col("_p").cast("double")
+    pairs = p * (F.col("n") - F.col("_p"))
+    return sums.filter(F.col("n") >= least).select(*keys, "n", (F.col("_fp") / F.nullif(F.col("_neg").cast("double"), F.lit(0.0))).alias("fpr"), F.when(pairs > 0, (F.col("_ranks") - p * (p + 1) / 2.0) / pairs).alias("auc"))
 
 
 def sliding_report(df: DataFrame, size: int = 2000, t: float = 0.5) -> DataFrame:
@@ -123,17 +130,22 @@ def drift_delays(df: DataFrame, drifts: DataFrame, t: float = 0.5, size: int = 1
     new_version_delay: rows to the first version above any before the drift; recovery_delay: to the first window whose AUC is at least 95 % of
     the baseline's (version 1 before the first drift); stable_delay: to the first window with a false-positive rate of at most 0.1;
     peak_fpr: the largest rate of the windows up to and including it. Windows are `size` rows, every `step`, of at least 100 rows. A
-    recovery at sequence number 0 counts as none.
+    recovery at sequence number 0 counts as none. Drift points ascend with drift_idx. Rows find their drift in an array of all drifts, which
+    are as few as a stream's changes; what follows holds a row for each version or window.
     """
     n = F.broadcast(df.agg(F.count("*").alias("_n")))
     spans = drifts.crossJoin(n).withColumn("upper", F.coalesce(F.lead("drift_point").over(Window.orderBy("drift_idx")), F.col("_n"))).drop("_n")
-    spans = F.broadcast(spans)
     first = F.broadcast(drifts.agg(F.min_by("drift_point", "drift_idx").alias("_first")))
     base_rows = df.crossJoin(first).filter((F.col("forest_version") == 1) & (F.col("seq") < F.col("_first")))
     base = F.broadcast(roc_auc(base_rows).select(F.col("auc").alias("baseline_auc")).crossJoin(confusion(base_rows, t).select(F.col("fpr").alias("_base_fpr"))))
-    before = spans.join(df.select("seq", "forest_version"), F.col("seq") < F.col("drift_point"), "left").groupBy("drift_idx").agg(F.coalesce(F.max("forest_version"), F.lit(1)).alias("_before"))
-    newer = spans.join(before, "drift_idx").join(df.select("seq", "forest_version"), (F.col("seq") >= F.col("drift_point")) & (F.col("seq") < F.col("upper")) & (F.col("forest_version") > F.col("_before"))).groupBy("drift_idx").agg(F.min("seq").alias("_new"))
-    inside = df.join(spans, (F.col("seq") >= F.col("drift_point")) & (F.col("seq") < F.col("upper")))
+    every = F.broadcast(spans.agg(F.array_sort(F.collect_list(F.struct("drift_point", "drift_idx", "upper"))).alias("_spans")))
+    placed = df.crossJoin(every).withColumn("_span", F.try_element_at(F.filter("_spans", lambda x: x["drift_point"] <= F.col("seq")), F.lit(-1))).drop("_spans")
+    placed = placed.select("seq", "label", "score", "forest_version", F.when(F.col("_span.upper") > F.col("seq"), F.col("_span.drift_idx")).alias("drift_idx"), F.col("_span.drift_point").alias("drift_point"), F.col("_span.upper").alias("upper"))
+    # The least sequence number of each version in each span, and before the first (or past the last, which no drift counts).
+    firsts = placed.groupBy(F.coalesce("drift_point", F.lit(-1)).alias("_at"), "drift_idx", "forest_version").agg(F.min("seq").alias("_seq"))
+    before = spans.join(firsts.select("_at", "forest_version").distinct(), F.col("_at") < F.col("drift_point"), "left").groupBy("drift_idx").agg(F.coalesce(F.max("forest_version"), F.lit(1)).alias("_before"))
+    newer = firsts.join(before, "drift_idx").filter(F.col("forest_version") > F.col("_before")).groupBy("drift_idx").agg(F.min("_seq").alias("_new"))
+    inside = placed.filter(F.col("drift_idx").isNotNull())
     rel = F.col("seq") - F.col("drift_point")
     starts = F.sequence(F.greatest(F.lit(0), F.floor((rel - size) / step) + 1), F.floor(rel / step))
     rows = inside.select("drift_idx", "drift_point", "upper", "label", "score", F.explode(starts).alias("_k")).withColumn("win_start", F.col("drift_point") + F.col("_k") * step).filter(F.col("win_start") < F.col("upper") - size)

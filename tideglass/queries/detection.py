@@ -43,17 +43,15 @@ def det4(spark, sf):
     return detectors.hddm_w(unit(spark, sf), HDDM.hddm).select("feature_id", "seq", "status")
 
 
-#: The queries with SQL show the sliding test at every _P-th row; those of the same name with _rows show every row.
-_P = 100
-#: KS of the first 400 values against the 400 up to each look, every _P rows: counted over the values of both.
-_LOOKS = f"""lk AS (SELECT feature_id, n AS looked FROM z WHERE n >= 400 AND (n - 400) % {_P} = 0),
+#: KS of the first 400 values against the 400 up to each row from the 400th: counted over the values of both.
+_LOOKS = """lk AS (SELECT feature_id, n AS looked FROM z WHERE n >= 400),
 vals AS (SELECT l.feature_id, l.looked, z.x, CASE WHEN z.n <= 400 THEN -1 ELSE 0 END + CASE WHEN z.n > l.looked - 400 THEN 1 ELSE 0 END AS d FROM lk l JOIN z ON z.feature_id = l.feature_id AND (z.n <= 400 OR (z.n > l.looked - 400 AND z.n <= l.looked))),
 g AS (SELECT feature_id, looked, x, sum(sum(d)) OVER (PARTITION BY feature_id, looked ORDER BY x) AS g FROM vals GROUP BY feature_id, looked, x), ks AS (SELECT feature_id, looked, max(abs(g)) / 400.0::DOUBLE AS ks FROM g GROUP BY feature_id, looked)"""
 
 
 class _FixedKs:
-    def __init__(self, w: int, stride: int):
-        self.w, self.stride, self.n, self.warm, self.win = w, stride, 0, [], None
+    def __init__(self, w: int):
+        self.w, self.n, self.warm, self.win = w, 0, [], None
 
     def step(self, v: float) -> float | None:
         self.n += 1
@@ -64,60 +62,34 @@ class _FixedKs:
             self.win = detectors.KsWindow(self.warm)
         else:
             self.win.slide(v)
-        return self.win.ks() if (self.n - self.w) % self.stride == 0 else None
+        return self.win.ks()
 
 
 @register("WIN7_reference_ks", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, looked, round(ks, 6) AS ks FROM ks")
 def win7(spark, sf):
-    """The statistic of a fixed reference against a sliding window, at every hundredth row."""
-    return _reference_ks(spark, sf, _P)
-
-
-@register("WIN7_reference_ks_rows")
-def win7_rows(spark, sf):
-    """The same at every row from the 400th."""
-    return _reference_ks(spark, sf, 1)
-
-
-def _reference_ks(spark, sf, stride: int):
+    """The statistic of a fixed reference against a sliding window, at every row from the 400th."""
     step = lambda s, g, v: [(g, s.n, ks)] if (ks := s.step(v)) is not None else []
-    return rounded(detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400, stride), step, "feature_id int, looked bigint, ks double"))
+    return rounded(detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400), step, "feature_id int, looked bigint, ks double"))
 
 
-@register("DET1_iks", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, CAST(looked AS BIGINT) - 1 AS seq, CASE WHEN ks > sqrt(-0.5::DOUBLE * ln(0.001::DOUBLE)) * sqrt(2.0::DOUBLE / 400) THEN 'DRIFT' ELSE 'STABLE' END AS status FROM ks")
+@register("DET1_iks", f"WITH {_UNIT}, {_LOOKS} SELECT z.feature_id, z.seq, CASE WHEN ks > sqrt(-0.5::DOUBLE * ln(0.001::DOUBLE)) * sqrt(2.0::DOUBLE / 400) THEN 'DRIFT' ELSE 'STABLE' END AS status FROM z LEFT JOIN ks ON ks.feature_id = z.feature_id AND ks.looked = z.n")
 def det1(spark, sf):
-    """The status of the sliding test, shown at every hundredth row."""
-    return det1_rows(spark, sf).filter(f"seq >= 399 AND (seq - 399) % {_P} = 0")
-
-
-@register("DET1_iks_rows")
-def det1_rows(spark, sf):
     """The status of the sliding test at every row, those of the warm-up included."""
     return detectors.statuses(unit(spark, sf), lambda: detectors.Iks(IKS))
 
 
-@register("DET1a_value_slots")
+@register("DET1a_value_slots", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, round(max(ks), 6) AS max_ks, count(*) AS looks FROM ks GROUP BY feature_id")
 def det1a(spark, sf):
     """What an ordered map of counts does elsewhere is done by slots of the reference's values: the largest statistic of each feature
     over all rows from the 400th."""
     step = lambda s, g, v: [(g, ks)] if (ks := s.step(v)) is not None else []
-    ks = detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400, 1), step, "feature_id int, ks double")
+    ks = detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400), step, "feature_id int, ks double")
     return rounded(ks.groupBy("feature_id").agg(F.max("ks").alias("max_ks"), F.count("*").alias("looks")))
 
 
 @register("DET1b_excess_counts", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, looked, CAST(max(g) AS BIGINT) AS max_excess, CAST(min(g) AS BIGINT) AS min_excess FROM g GROUP BY feature_id, looked")
 def det1b(spark, sf):
-    """Largest and smallest excess of current over reference values below a value, at every hundredth row."""
-    return _excess(spark, sf, _P)
-
-
-@register("DET1b_excess_counts_rows")
-def det1b_rows(spark, sf):
-    """The same at every row from the 400th."""
-    return _excess(spark, sf, 1)
-
-
-def _excess(spark, sf, stride: int):
+    """Largest and smallest excess of current over reference values below a value, at every row from the 400th."""
     import numpy as np
 
     def step(s, g, v):
@@ -128,7 +100,7 @@ def _excess(spark, sf, stride: int):
         points = np.cumsum(s.win.excess)[held]
         return [(g, s.n, int(points.max()), int(points.min()))]
 
-    out = detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400, stride), step, "feature_id int, looked bigint, max_excess bigint, min_excess bigint")
+    out = detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], lambda: _FixedKs(400), step, "feature_id int, looked bigint, max_excess bigint, min_excess bigint")
     return out
 
 
@@ -154,24 +126,56 @@ def win8(spark, sf):
     return rounded(o.groupBy("feature_id").agg(F.count("*").alias("n"), F.max("ks").alias("peak"), F.min(F.col("emit_seq") - F.col("seq")).alias("least_wait")))
 
 
-@register("DET6_feature_hddm")
+def _hddm_sql() -> str:
+    """The warm-up and the EWMA detector of each feature as a fold over its values, whose state is that of the machine."""
+    signal = "least(abs(v.x - a.ref) / a.scale, 1.0::DOUBLE)"
+    e = f"(CASE WHEN a.e IS NULL THEN {signal} ELSE (1.0::DOUBLE - 0.01::DOUBLE) * a.e + 0.01::DOUBLE * {signal} END)"
+    best = f"least(coalesce(a.b, {e}), {e})"
+    fires = f"{e} - {_EPS} > {best} + {_EPS} * {_RATIO}"
+    total, dev = "(a.total + v.x)", "abs(v.x - (a.total + v.x) / (a.n + 1))"
+    warm = "a.ref IS NULL"
+
+    def state(x="v.x", seq="v.seq", n="0", total="0.0::DOUBLE", devs="[]::DOUBLE[]", ref="NULL::DOUBLE", scale="NULL::DOUBLE", e="NULL::DOUBLE", b="NULL::DOUBLE", found="[]::STRUCT(seq BIGINT, ks DOUBLE)[]"):
+        return f"{{'x': {x}, 'seq': {seq}, 'n': CAST({n} AS BIGINT), 'total': {total}, 'devs': {devs}, 'ref': {ref}, 'scale': {scale}, 'e': {e}, 'b': {b}, 'found': {found}}}"
+
+    step = f"""CASE WHEN {warm} AND a.n + 1 < 400 THEN {state(n="a.n + 1", total=total, devs=f"list_append(a.devs, {dev})", found="a.found")}
+WHEN {warm} THEN {state(ref=f"{total} / (a.n + 1)", scale=f"greatest(list_sort(list_append(a.devs, {dev}))[396], 1e-12::DOUBLE)", found="a.found")}
+WHEN {fires} THEN {state(found=f"list_append(a.found, {{'seq': v.seq, 'ks': {signal}}})")}
+ELSE {state(ref="a.ref", scale="a.scale", e=e, b=best, found="a.found")} END"""
+    return f"WITH {SV}, l AS (SELECT feature_id, list({state(x='value', seq='seq')} ORDER BY seq) AS l FROM sv GROUP BY feature_id), r AS (SELECT feature_id, list_reduce(list_prepend({state(x='0.0::DOUBLE', seq='CAST(-1 AS BIGINT)')}, l), lambda a, v: {step}).found AS found FROM l), u AS (SELECT feature_id, unnest(found) AS f FROM r) SELECT feature_id, f.seq AS seq, round(f.ks, 6) AS ks, f.seq AS emit_seq FROM u"
+
+
+@register("DET6_feature_hddm", _hddm_sql())
 def det6(spark, sf):
     return rounded(detectors.onsets(shifted_values(spark, sf), "hddm_w", hddm=HDDM))
 
 
-@register("DET8_config_checks", "SELECT * FROM (VALUES ('confidences', true), ('k', true), ('lambda', true), ('p_value', true), ('timeout', true), ('window', true)) v(parameter, rejected)")
+_CHECKS = {
+    "confidences": (7, "{} < 1 OR {} >= 5"),
+    "k": (5, "{} < 1"),
+    "lambda": (30, "{} < 1 OR {} > 20"),
+    "p_value": (13, "{} < 1 OR {} > 9"),
+    "timeout": (4, "{} < 1"),
+    "window": (6, "{} < 1"),
+}
+
+
+@register("DET8_config_checks", "SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS parameter, CAST(user_id % {m} AS INTEGER) AS step, {c.format(f'user_id % {m}', f'user_id % {m}')} AS rejected FROM events" for p, (m, c) in _CHECKS.items()) + ")")
 def det8(spark, sf):
+    """Which values, made from those of a table, a configuration rejects: confidences k / 1000 against 5 / 1000, lambda k / 20, p-values k / 10."""
     from tideglass.config import QuorumConfig
 
-    def rejects(make) -> bool:
+    def rejects(make, k: int) -> bool:
         try:
-            make()
+            make(k)
         except ValueError:
             return True
         return False
 
-    cases = {"confidences": lambda: HddmConfig(drift_confidence=0.01, warn_confidence=0.005), "lambda": lambda: HddmConfig(lam=0.0), "timeout": lambda: HddmConfig(warn_timeout=0), "window": lambda: IksConfig(window=0), "p_value": lambda: IksConfig(p_value=1.0), "k": lambda: QuorumConfig(k=0)}
-    return spark.createDataFrame(sorted((n, rejects(f)) for n, f in cases.items()), "parameter string, rejected boolean")
+    cases = {"confidences": lambda k: HddmConfig(drift_confidence=k / 1000, warn_confidence=5 / 1000), "lambda": lambda k: HddmConfig(lam=k / 20), "timeout": lambda k: HddmConfig(warn_timeout=k), "window": lambda k: IksConfig(window=k), "p_value": lambda k: IksConfig(p_value=k / 10), "k": lambda k: QuorumConfig(k=k)}
+    users = [r["user_id"] for r in table(spark, sf, "events").select("user_id").distinct().collect()]
+    rows = {(p, int(u % m), rejects(cases[p], int(u % m))) for p, (m, _) in _CHECKS.items() for u in users}
+    return spark.createDataFrame(sorted(rows), "parameter string, step int, rejected boolean")
 
 
 @register("DET10_offline_iks")
@@ -187,24 +191,27 @@ def det11(spark, sf):
     return rounded(detectors.offline_signal(shifted_values(spark, sf), 400).select("feature_id", "seq", "signal"))
 
 
-@register("DET11_offline_hddm")
-def det11_fires(spark, sf):
-    return detectors.offline_hddm(detectors.offline_signal(shifted_values(spark, sf), 400), 400, HDDM.hddm)
+def _offline_sql() -> str:
+    """The EWMA detector over each feature's signal as a fold; a fire resets it and skips 400 rows."""
+    e = "(CASE WHEN a.e IS NULL THEN v.x ELSE (1.0::DOUBLE - 0.01::DOUBLE) * a.e + 0.01::DOUBLE * v.x END)"
+    best = f"least(coalesce(a.b, {e}), {e})"
 
+    def state(x="v.x", n="v.n", e="NULL::DOUBLE", b="NULL::DOUBLE", skip="0", found="a.found"):
+        return f"{{'x': {x}, 'n': {n}, 'e': {e}, 'b': {b}, 'skip': CAST({skip} AS BIGINT), 'found': {found}}}"
 
-@register("DET12_sliding_test", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, looked, round(max(abs(g)) / 400.0::DOUBLE, 6) AS ks, round((greatest(max(g), 0) - least(min(g), 0)) / 400.0::DOUBLE, 6) AS kuiper, max(abs(g)) / 400.0::DOUBLE > 1.95::DOUBLE * sqrt(2.0::DOUBLE / 400) AS fires FROM g GROUP BY feature_id, looked")
-def det12(spark, sf):
-    """The stand-alone object: increment, then ks, kuiper and test(1.95) at every hundredth row."""
-    return _sliding_test(spark, sf, _P)
+    step = f"CASE WHEN a.skip > 0 THEN {state(skip='a.skip - 1')} WHEN {e} - {_EPS} > {best} + {_EPS} * {_RATIO} THEN {state(skip='400', found='list_append(a.found, v.n - 1)')} ELSE {state(e=e, b=best)} END"
+    start, row = state(x="0.0::DOUBLE", n="CAST(0 AS BIGINT)", found="[]::BIGINT[]"), state(x="signal", n="n", found="[]::BIGINT[]")
+    return f"WITH {_SIGNAL}, l AS (SELECT feature_id, list({row} ORDER BY n) AS l FROM sn WHERE signal IS NOT NULL GROUP BY feature_id) SELECT feature_id, unnest(list_reduce(list_prepend({start}, l), lambda a, v: {step}).found) AS fire FROM l"
 
 
-@register("DET12_sliding_test_rows")
-def det12_rows(spark, sf):
-    """The same at every row from the 400th."""
-    return _sliding_test(spark, sf, 1)
+@register("DET11_offline_hddm", _offline_sql())
+def det11_fires(spark, sf):
+    return detectors.offline_hddm(detectors.offline_signal(shifted_values(spark, sf), 400), 400, HDDM.hddm)
 
 
-def _sliding_test(spark, sf, stride: int):
+@register("DET12_sliding_test", f"WITH {_UNIT}, {_LOOKS} SELECT feature_id, looked, round(max(abs(g)) / 400.0::DOUBLE, 6) AS ks, round((greatest(max(g), 0) - least(min(g), 0)) / 400.0::DOUBLE, 6) AS kuiper, max(abs(g)) / 400.0::DOUBLE > 1.95::DOUBLE * sqrt(2.0::DOUBLE / 400) AS fires FROM g GROUP BY feature_id, looked")
+def det12(spark, sf):
+    """The stand-alone object: increment, then ks, kuiper and test(1.95) at every row from the 400th."""
 
     class State:
         def __init__(self):
@@ -218,7 +225,7 @@ def _sliding_test(spark, sf, stride: int):
                 s.sw = detectors.IksSw(s.warm)
         else:
             s.sw.increment(v)
-        return [(g, s.n, s.sw.ks(), s.sw.kuiper(), s.sw.test(1.95))] if s.sw and (s.n - 400) % stride == 0 else []
+        return [(g, s.n, s.sw.ks(), s.sw.kuiper(), s.sw.test(1.95))] if s.sw else []
 
     return rounded(detectors.sequential(unit(spark, sf), "feature_id", ["seq"], ["value"], State, step, "feature_id int, looked bigint, ks double, kuiper double, fires boolean"))
 

@@ -21,7 +21,10 @@ QUERIES, ORACLES = register.queries, register.oracles
 
 def scratch(spark, name: str) -> str:
     """A new folder in the shared checkpoint folder (a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="scratch-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -121,9 +124,11 @@ def src9(spark, sf):
     return text.load_dataset(spark, text.Dataset(path, label_position="last", anomaly_label="error", dimensions=2))
 
 
-@register("SRC10_drift_events", "SELECT * FROM (VALUES (0, 'abrupt', CAST(500 AS BIGINT), CAST(501 AS BIGINT)), (1, 'gradual', 800, 900)) v(drift_idx, type, start_line, end_line)")
+@register("SRC10_drift_events", "SELECT CAST(k AS INTEGER) AS drift_idx, type, n * lo // 10 AS start_line, CASE WHEN hi IS NULL THEN n * lo // 10 + 1 ELSE n * hi // 10 END AS end_line FROM (SELECT count(*) AS n FROM events), (VALUES (0, 'abrupt', 5, NULL), (1, 'gradual', 8, 9)) v(k, type, lo, hi)")
 def src10(spark, sf):
-    spec = spark.createDataFrame([('{"dataset": "d", "drift_events": [{"type": "abrupt", "start_line": 500}, {"type": "gradual", "start_line": 800, "end_line": 900}]}',)], "value string")
+    """Drifts at tenths of the events, from a specification's text."""
+    n = table(spark, sf, "events").agg(F.count("*").alias("n"))
+    spec = n.selectExpr("""concat('{"dataset": "d", "drift_events": [{"type": "abrupt", "start_line": ', n * 5 div 10, '}, {"type": "gradual", "start_line": ', n * 8 div 10, ', "end_line": ', n * 9 div 10, '}]}') AS value""")
     return text.drift_events(spec.select(F.from_json("value", schemas.DRIFT_SPEC).alias("s")).select("s.*"))
 
 
@@ -212,23 +217,23 @@ def snk5(spark, sf):
     return table(spark, sf, "events").groupBy(F.floor(F.col("value") / 10).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@register("SNK6_reset", "SELECT true AS written, false AS kept")
+@register("SNK6_reset", "SELECT count(*) AS written, false AS kept FROM events")
 def snk6(spark, sf):
     path = scratch(spark, "topic")
-    spark.range(3).write.parquet(path)
+    table(spark, sf, "events").select("event_id").write.parquet(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    before = bool(fs.exists(p))
+    before = spark.read.parquet(path).count()
     sinks.reset(spark, path)
-    return spark.createDataFrame([(before, bool(fs.exists(p)))], "written boolean, kept boolean")
+    return spark.createDataFrame([(before, bool(fs.exists(p)))], "written long, kept boolean")
 
 
-_POLLS = "po AS (SELECT event_id AS poll, least(event_id * 3, 100) AS n FROM events WHERE event_id < 200)"
+_POLLS = "po AS (SELECT event_id AS poll, least(event_id * 3, 100) AS n FROM events)"
 
 
 @register("SNK7_completion_gate", f"WITH {_POLLS}, w AS (SELECT poll, n, count(*) OVER x AS c, min(n) OVER x AS lo, max(n) OVER x AS hi FROM po WINDOW x AS (ORDER BY poll ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), r AS (SELECT poll, CASE WHEN n >= 150 THEN 'reached' WHEN c = 12 AND lo = hi THEN 'unchanged' END AS reason FROM w) SELECT min(poll) AS poll, arg_min(reason, poll) AS reason FROM r WHERE reason IS NOT NULL")
 def snk7(spark, sf):
-    polls = table(spark, sf, "events").filter("event_id < 200").select(F.col("event_id").alias("poll"), F.least(F.col("event_id") * 3, F.lit(100)).alias("n"))
+    polls = table(spark, sf, "events").select(F.col("event_id").alias("poll"), F.least(F.col("event_id") * 3, F.lit(100)).alias("n"))
     return sinks.gate(polls, 150)
 
 
@@ -243,24 +248,25 @@ def _n(d: int) -> str:
     return f"sqrt(-2.0::DOUBLE * ln(greatest({_u(chr(39) + 'u' + chr(39), chr(39) + str(d) + chr(39), 'id')}, 1e-12))) * cos({2 * 3.141592653589793!r}::DOUBLE * {_u(chr(39) + 'v' + chr(39), chr(39) + str(d) + chr(39), 'id')})"
 
 
-def _stream_sql(share: str, p: dict, n: int) -> str:
+def _stream_sql(share: str, p: dict) -> str:
     mean = f"({p['before']}::DOUBLE + sh * {p['after'] - p['before']}::DOUBLE)"
     value = lambda d: f"round(CASE WHEN label = 1 THEN {p['anomaly_mean']}::DOUBLE + {p['anomaly_sigma']}::DOUBLE * {_n(d)} ELSE {mean} + {p['sigma']}::DOUBLE * {_n(d)} END, 6) AS f{d}"
     label = f"CASE WHEN {_u(chr(39) + 'label' + chr(39), 'id')} < {p['ratio']}::DOUBLE THEN 1 ELSE 0 END AS label"
-    return f"WITH b AS (SELECT id, {share} AS sh, {label} FROM range({n}) r(id)) SELECT id, {value(0)}, {value(1)}, label FROM b"
+    return f"WITH b AS (SELECT id, {share} AS sh, {label} FROM (SELECT event_id AS id FROM events), (SELECT count(*) AS n FROM events)) SELECT id, {value(0)}, {value(1)}, label FROM b"
 
 
-_N = 20000
+#: A drift over the third fifth of as many rows as there are events.
+_RAMP = "least(greatest((id - 2 * n // 5) / CAST(n // 5 AS DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE)"
 
 
-@register("SRC13_stream_v1", _stream_sql(f"least(greatest((id - {2 * _N // 5}) / {float(_N // 5)}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)", synthetic.V1, _N))
+@register("SRC13_stream_v1", _stream_sql(_RAMP, synthetic.V1))
 def src13(spark, sf):
-    return synthetic.stream(spark, "gradual", version=1, n=_N, dim=2)
+    return synthetic.stream(spark, "gradual", version=1, n=table(spark, sf, "events").count(), dim=2)
 
 
-@register("SRC14_stream_v2", _stream_sql(f"CASE WHEN {_u(chr(39) + 'mix' + chr(39), 'id')} < least(greatest((id - {2 * _N // 5}) / {float(_N // 5)}::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", synthetic.V2, _N))
+@register("SRC14_stream_v2", _stream_sql(f"CASE WHEN {_u(chr(39) + 'mix' + chr(39), 'id')} < {_RAMP} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", synthetic.V2))
 def src14(spark, sf):
-    return synthetic.stream(spark, "gradual", version=2, n=_N, dim=2)
+    return synthetic.stream(spark, "gradual", version=2, n=table(spark, sf, "events").count(), dim=2)
 
 
 # ---- reshaping and routing -------------------------------------------------------------------------------------------------------
@@ -272,13 +278,14 @@ def prj1(spark, sf):
 
 
 def controls(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 100 = 0")
-    forests = e.filter("event_id % 200 = 0").select((F.col("event_id") / 200).cast("long").alias("version"), (F.col("event_id") % 7).cast("int").alias("subsample_size"))
-    rounds = e.filter("event_id % 200 = 100").select(F.expr("event_id div 200").alias("round_id"), F.lit("COMMITTED").alias("status"))
+    """Every event as a control message: forests and rounds by turns."""
+    e = table(spark, sf, "events")
+    forests = e.filter("event_id % 2 = 0").select(F.expr("event_id div 2").alias("version"), (F.col("event_id") % 7).cast("int").alias("subsample_size"))
+    rounds = e.filter("event_id % 2 = 1").select(F.expr("event_id div 2").alias("round_id"), F.lit("COMMITTED").alias("status"))
     return forests, rounds
 
 
-_CTL = "c AS (SELECT 'FOREST' AS type, event_id // 200 AS version, CAST(NULL AS BIGINT) AS round_id FROM events WHERE event_id % 200 = 0 UNION ALL SELECT 'DRIFT_ROUND', NULL, event_id // 200 FROM events WHERE event_id % 200 = 100)"
+_CTL = "c AS (SELECT 'FOREST' AS type, event_id // 2 AS version, CAST(NULL AS BIGINT) AS round_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'DRIFT_ROUND', NULL, event_id // 2 FROM events WHERE event_id % 2 = 1)"
 
 
 @register("PRJ2_envelopes", f"WITH {_CTL} SELECT * FROM c")
@@ -308,11 +315,11 @@ def sc4(spark, sf):
     return points(spark, sf).select("id", java_hash(F.col("id")).alias("h"))
 
 
-@register("RTE2_explicit_shards", "SELECT CAST(s AS INTEGER) AS shard, CAST(1 AS BIGINT) AS partitions FROM range(4) r(s)")
+@register("RTE2_explicit_shards", f"WITH {PT} SELECT CAST(abs({HASH} % 4) AS INTEGER) AS shard, count(*) AS n, CAST(1 AS BIGINT) AS partitions FROM pt GROUP BY 1")
 def rte2(spark, sf):
     """Keys need no search for balance: all rows of a shard are in one partition by the shard's own number."""
     rows = routing.by_shard(points(spark, sf), 4).withColumn("part", F.spark_partition_id())
-    return rows.groupBy("shard").agg(F.count_distinct("part").alias("partitions"))
+    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("part").alias("partitions"))
 
 
 @register("RTE3_feature_partitions", f"WITH {FV} SELECT feature_id, count(*) AS n, CAST(1 AS BIGINT) AS partitions FROM fv GROUP BY feature_id")
@@ -343,11 +350,12 @@ def sc1(spark, sf):
     return rounded(table(spark, sf, "events").select("event_id", F.ln(v).alias("l"), F.sqrt(v).alias("s"), F.pow(v, F.lit(0.5)).alias("p"), F.abs(v - 100).alias("a"), F.least(v, F.lit(100.0)).alias("lo"), F.greatest(v, F.lit(100.0)).alias("hi"), F.ceil(v).alias("c")))
 
 
-@register("SC2_ks_threshold", "SELECT w, round(sqrt(-0.5::DOUBLE * ln(0.001::DOUBLE)) * sqrt(2.0::DOUBLE / w), 9) AS thr FROM (VALUES (2000), (200), (30)) v(w)")
+@register("SC2_ks_threshold", "SELECT DISTINCT CAST(w AS INTEGER) AS w, round(sqrt(-0.5::DOUBLE * ln(0.001::DOUBLE)) * sqrt(2.0::DOUBLE / w), 9) AS thr FROM (SELECT 30 + user_id AS w FROM events)")
 def sc2(spark, sf):
     from tideglass.functions import ks_threshold
 
-    return spark.createDataFrame([(w, round(ks_threshold(0.001, w), 9)) for w in (2000, 200, 30)], "w int, thr double")
+    sizes = [r["w"] for r in table(spark, sf, "events").select((F.col("user_id") + 30).alias("w")).distinct().collect()]
+    return spark.createDataFrame([(w, round(ks_threshold(0.001, w), 9)) for w in sizes], "w int, thr double")
 
 
 @register("SC9_ids_and_times", "SELECT count(*) AS n, count(*) AS ids, true AS now FROM events")
@@ -358,40 +366,52 @@ def sc9(spark, sf):
 
 # ---- plans -----------------------------------------------------------------------------------------------------------------------
 
-PLAN = {"datasets": ["a", "b"], "configs": ["c1", "c2", "c3"], "algos": ["iks", "hddm"], "parallelism": [1, 2, 4], "repeats": 3}
-_PLAN = "pl AS (SELECT dataset, config, algo, CAST(parallelism AS INTEGER) AS parallelism, CAST(run AS INTEGER) AS run FROM (VALUES ('a'), ('b')) d(dataset), (VALUES ('c1'), ('c2'), ('c3')) c(config), (VALUES ('iks'), ('hddm')) g(algo), (VALUES (1), (2), (4)) p(parallelism), range(1, 4) r(run))"
+PLAN = {"algos": ["iks", "hddm"], "parallelism": [1, 2, 4], "repeats": 3}
+
+
+def plan(spark, sf) -> dict:
+    """A plan over the datasets and configurations that a table names."""
+    e = table(spark, sf, "events").select("event_type", F.concat(F.lit("c"), F.col("user_id") % 3).alias("c"))
+    names = lambda c: sorted(r[0] for r in e.select(c).distinct().collect())
+    return {"datasets": names("event_type"), "configs": names("c"), **PLAN}
+
+
+_PLAN = "pl AS (SELECT dataset, config, algo, CAST(parallelism AS INTEGER) AS parallelism, CAST(run AS INTEGER) AS run FROM (SELECT DISTINCT event_type FROM events) d(dataset), (SELECT DISTINCT 'c' || user_id % 3 FROM events) c(config), (VALUES ('iks'), ('hddm')) g(algo), (VALUES (1), (2), (4)) p(parallelism), range(1, 4) r(run))"
 _ID = "dataset || '_' || config || '_' || algo || '_p' || parallelism || '_r' || run"
 
 
 @register("ORC1_expand_plan", f"WITH {_PLAN} SELECT *, '' AS extra, {_ID} AS exp_id FROM pl")
 def orc1(spark, sf):
-    return expand.expand_plan(spark, PLAN)
+    return expand.expand_plan(spark, plan(spark, sf))
 
 
 @register("ORC2_sensitivity", f"WITH {_PLAN}, x(extra) AS (VALUES ('lam=0.1'), ('lam=0.2'), ('k=3')) SELECT pl.*, extra, {_ID} || '_' || replace(extra, '=', '-') AS exp_id FROM pl, x")
 def orc2(spark, sf):
-    return expand.expand_plan(spark, {**PLAN, "sensitivity": {"lam": ["0.1", "0.2"], "k": ["3"]}})
+    return expand.expand_plan(spark, {**plan(spark, sf), "sensitivity": {"lam": ["0.1", "0.2"], "k": ["3"]}})
 
 
 @register("ORC3_configurations", f"WITH {_PLAN}, x(extra) AS (VALUES ('lam=0.1;k=2'), ('k=3')) SELECT pl.*, extra, {_ID} || '_' || replace(replace(extra, '=', '-'), ';', '_') AS exp_id FROM pl, x")
 def orc3(spark, sf):
-    return expand.expand_plan(spark, {**PLAN, "configurations": [{"lam": 0.1, "k": 2}, {"k": 3}]})
+    return expand.expand_plan(spark, {**plan(spark, sf), "configurations": [{"lam": 0.1, "k": 2}, {"k": 3}]})
 
 
-@register("ORC4_batch", "SELECT * FROM (VALUES ('bad', 1), ('done', 3), ('ok', 0), ('short', 2)) v(exp_id, code)")
+@register("ORC4_batch", "SELECT DISTINCT t || k AS exp_id, CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS code FROM (SELECT event_type AS t, user_id % 4 AS k FROM events)")
 def orc4(spark, sf):
     """Codes of a batch: what has a result is skipped, an error does not stop the others."""
     import os
 
-    home = tempfile.mkdtemp()
-    open(os.path.join(home, "done"), "w").close()
+    home = tempfile.mkdtemp()  # of the driver, as the batch is
+    names = sorted(r[0] for r in table(spark, sf, "events").select(F.concat("event_type", F.col("user_id") % 4)).distinct().collect())
+    for i in names:
+        if i.endswith("0"):
+            open(os.path.join(home, i), "w").close()
 
     def run(i: str) -> int:
-        if i == "bad":
+        if i.endswith("1"):
             raise RuntimeError("failed")
-        return 2 if i == "short" else 0
+        return 2 if i.endswith("2") else 0
 
-    codes = expand.run_batch(["ok", "done", "bad", "short"], run, lambda i: os.path.join(home, i), lambda _: None)
+    codes = expand.run_batch(names, run, lambda i: os.path.join(home, i), lambda _: None)
     return spark.createDataFrame(sorted(codes.items()), "exp_id string, code int")
 
 

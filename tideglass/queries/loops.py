@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tideglass.config import ForestConfig, HddmConfig, IksConfig, PauseMode, PerFeatureHddmConfig, PipelineConfig, ProcessorConfig, QuorumConfig
 from tideglass.operators import detectors, metrics
 from tideglass.operators.routing import split_features
-from tideglass.queries.base import Registry, points, rounded, shifted_values, table
+from tideglass.queries.base import PT, Registry, points, rounded, shifted_values, table
 from tideglass.queries.ingest import scratch
-from tideglass.queries.models import SAMPLE, WALK, literal_trees
+from tideglass.queries.models import HASH, SAMPLE, WALK, literal_trees
 from tideglass.sources import sinks
 from tideglass.streaming import stateful
 from tideglass.streaming.replay import replay
@@ -39,17 +39,45 @@ def loop(spark, sf, **over):
     return replay(p, config(**over), epoch=500, run="run")
 
 
+#: The replay of given rounds: rows a ring, rows a cooldown; rounds at 6 and 13 twentieths of the events, epochs of one twentieth.
+RING, COOLDOWN = 50, 80
+
+
+def replayed(spark, sf, **over):
+    """The loop without detectors: two rounds are given, so that what every shard does follows from the order of its rows."""
+    p = points(spark, sf).withColumn("run", (F.col("features")[2].cast("long") % 5))
+    n = p.count()
+    return replay(p, config(**{"ring_size": RING, "cooldown_samples": COOLDOWN, **over}), epoch=n // 20, run="run", rounds=[(1, 6 * n // 20), (2, 13 * n // 20)])
+
+
+def _replay_sql(rows: int = COOLDOWN, name: str = "") -> str:
+    """CTEs of the same by the order of rows: r (rows by run and shard), first (of each run: when version 1 was made and from where it counts),
+    ent{name} (each shard's first row in a cooldown), ret{name} (its last, which trains the trees), ver{name} (versions)."""
+    head = f"""{PT}, nn AS (SELECT count(*) AS n, count(*) // 20 AS ep FROM events),
+r AS (SELECT run, seq, shard, row_number() OVER (PARTITION BY run, shard ORDER BY seq) AS rn FROM (SELECT CAST(CAST(features[3] AS BIGINT) % 5 AS VARCHAR) AS run, seq, CAST(abs({HASH} % 2) AS INTEGER) AS shard FROM pt)),
+first AS (SELECT run, max(seq) AS made, (max(seq) // any_value(ep) + 1) * any_value(ep) AS eff FROM r, nn WHERE rn = {RING} + 4 GROUP BY run HAVING count(*) = 2),
+cm AS (SELECT run, k, min(seq) AS since, (min(seq) // any_value(ep) + 1) * any_value(ep) AS eff FROM r, nn, (VALUES (1, 6), (2, 13)) c(k, share) WHERE seq >= share * n // 20 GROUP BY run, k), """
+    return (head if not name else "") + f"""ent{name} AS (SELECT r.run, shard, k, min(rn) AS rn0 FROM cm JOIN first USING (run) JOIN r ON r.run = cm.run AND seq >= greatest(cm.eff, first.eff) GROUP BY r.run, shard, k),
+ret{name} AS (SELECT e.run, e.shard, e.k, r.seq, r.rn, e.rn0 FROM ent{name} e JOIN r ON r.run = e.run AND r.shard = e.shard AND r.rn = e.rn0 + {rows} - 1 WHERE NOT EXISTS (SELECT 1 FROM ent{name} f WHERE f.run = e.run AND f.shard = e.shard AND f.k = e.k + 1 AND f.rn0 <= r.rn)),
+ver{name} AS (SELECT run, 0 AS k, 1 AS version, made, eff FROM first UNION ALL SELECT run, k, 1 + row_number() OVER (PARTITION BY run ORDER BY k), max(seq), (max(seq) // any_value(ep) + 1) * any_value(ep) FROM ret{name}, nn GROUP BY run, k HAVING count(*) = 2)"""
+
+
+_R = _replay_sql()
+#: Rows scored before version 1 counts (phase A) and after, with the version of their epoch.
+_SCORED = f"{_R}, sc AS (SELECT r.run, r.shard, r.rn, seq, (SELECT max(version) FROM ver v WHERE v.run = r.run AND v.eff <= greatest(seq, first.eff)) AS version, CASE WHEN seq < first.eff THEN 'A' ELSE 'C' END AS phase FROM r JOIN first USING (run))"
+
+
 @register("STR15_closed_loop")
 def str15(spark, sf):
     """How many scores, trees, versions, onsets and rounds each run has."""
     return loop(spark, sf).groupBy("run", "kind").agg(F.count("*").alias("n"))
 
 
-@register("STR2_phase_a", "SELECT CAST(run AS VARCHAR) AS run, n FROM (SELECT 1 AS run, 1 AS n) WHERE false")
+@register("STR2_phase_a", f"WITH {_SCORED} SELECT run, CAST(1 AS BIGINT) AS version, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM sc WHERE phase = 'A' GROUP BY run")
 def str2(spark, sf):
-    """Runs whose first scores are not phase A rows of version 1 without an ingestion time: none."""
-    s = loop(spark, sf).filter("kind = 'score' AND phase = 'A' AND (version <> 1 OR ingestion_time <> 0)")
-    return s.groupBy("run").agg(F.count("*").cast("int").alias("n"))
+    """What was held back until the first forest: scored by version 1, without an ingestion time."""
+    s = replayed(spark, sf).filter("kind = 'score' AND phase = 'A' AND ingestion_time = 0")
+    return s.groupBy("run", "version").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 @register("STR3_stream_scores", f"{WALK} SELECT seq, round(score, 6) AS score FROM sc")
@@ -59,71 +87,75 @@ def str3(spark, sf):
     return rounded(_drained(spark, scored.select("seq", "score"), "scores"))
 
 
-@register("STR4_decisions_consumed")
+@register("STR4_decisions_consumed", f"WITH {_R} SELECT run, count(*) AS committed, (SELECT count(DISTINCT k) FROM ret WHERE ret.run = cm.run) AS retrained, (SELECT count(*) FROM ret WHERE ret.run = cm.run) AS consumed FROM cm GROUP BY run")
 def str4(spark, sf):
-    """Rounds committed, and rounds whose trees were built, by run."""
-    r = loop(spark, sf)
-    trees = r.filter("kind = 'tree' AND round_id > 0").groupBy("run").agg(F.count_distinct("round_id").alias("retrained"))
+    """Rounds committed, rounds whose trees were built, and how often a shard built trees for a round: once each."""
+    r = replayed(spark, sf)
+    trees = r.filter("kind = 'tree' AND round_id > 0").groupBy("run").agg(F.count_distinct("round_id").alias("retrained"), F.count_if(F.col("slot") == 0).alias("consumed"))
     return r.filter("kind = 'round'").groupBy("run").agg(F.count("*").alias("committed")).join(trees, "run", "left").na.fill(0)
 
 
-@register("STR5_cooldown_entry")
+@register("STR5_cooldown_entry", f"WITH {_R} SELECT run, CAST(k AS BIGINT) AS round_id, shard, seq AS trained_at, CAST(4 AS BIGINT) AS trees FROM ret")
 def str5(spark, sf):
-    """Rounds that led to new trees, and the last row before them."""
-    return loop(spark, sf).filter("kind = 'tree' AND round_id > 0").groupBy("run", "round_id").agg(F.min("seq").alias("first_tree_at"), F.count("*").alias("trees"))
+    """The row at which each shard has seen as many rows since it entered the cooldown of a round as that takes."""
+    return replayed(spark, sf).filter("kind = 'tree' AND round_id > 0").groupBy("run", "round_id", "shard").agg(F.max("seq").alias("trained_at"), F.count("*").alias("trees"))
 
 
-@register("STR6_cooldown_policies")
+@register("STR6_cooldown_policies", f"WITH {_R}, al AS (SELECT run, 0 AS k, made AS seq FROM first UNION ALL SELECT run, k, max(seq) FROM ret GROUP BY run, k) SELECT policy, run, CAST(al.k AS BIGINT) AS round_id, CASE WHEN al.k = 0 THEN 8 ELSE 4 * (SELECT count(*) FROM ret WHERE ret.run = al.run AND ret.k = al.k) END AS trees, seq AS last_seq FROM al, (VALUES ('d1a'), ('legacy')) p(policy)")
 def str6(spark, sf):
-    """Trees that the two ways of filling the ring lead to."""
-    a = loop(spark, sf).withColumn("policy", F.lit("d1a"))
-    b = loop(spark, sf, cooldown_policy="legacy").withColumn("policy", F.lit("legacy"))
+    """Trees that the two ways of filling the ring lead to; rows that the gate leaves out do not delay them here."""
+    a = replayed(spark, sf).withColumn("policy", F.lit("d1a"))
+    b = replayed(spark, sf, cooldown_policy="legacy").withColumn("policy", F.lit("legacy"))
     return a.unionByName(b).filter("kind = 'tree'").groupBy("policy", "run", "round_id").agg(F.count("*").alias("trees"), F.max("seq").alias("last_seq"))
 
 
-@register("STR7_fill_conditions")
+@register("STR7_fill_conditions", f"WITH {_R}, {_replay_sql(RING, '2')} SELECT 'cooldownsamples' AS fill, run, CAST(k AS BIGINT) AS round_id, min(seq) AS first_tree_at FROM ret GROUP BY run, k UNION ALL SELECT 'ringfull', run, k, min(seq) FROM ret2 GROUP BY run, k")
 def str7(spark, sf):
     """When retraining starts, by the condition that ends a cooldown."""
-    a = loop(spark, sf).withColumn("fill", F.lit("cooldownsamples"))
-    b = loop(spark, sf, d1a_fill="ringfull").withColumn("fill", F.lit("ringfull"))
+    a = replayed(spark, sf).withColumn("fill", F.lit("cooldownsamples"))
+    b = replayed(spark, sf, d1a_fill="ringfull").withColumn("fill", F.lit("ringfull"))
     return a.unionByName(b).filter("kind = 'tree' AND round_id > 0").groupBy("fill", "run", "round_id").agg(F.min("seq").alias("first_tree_at"))
 
 
-@register("STR8_retrained_trees")
+@register("STR8_retrained_trees", f"WITH {_R} SELECT run, CAST(k AS BIGINT) AS round_id, shard, CAST(4 AS BIGINT) AS trees, CAST(4 AS BIGINT) AS slots, seq AS last_seq FROM (SELECT run, 0 AS k, shard, seq FROM r WHERE rn = {RING} + 4 AND run IN (SELECT run FROM first) UNION ALL SELECT run, k, shard, seq FROM ret)")
 def str8(spark, sf):
-    return loop(spark, sf).filter("kind = 'tree'").groupBy("run", "round_id", "shard").agg(F.count("*").alias("trees"), F.count_distinct("slot").alias("slots"))
+    return replayed(spark, sf).filter("kind = 'tree'").groupBy("run", "round_id", "shard").agg(F.count("*").alias("trees"), F.count_distinct("slot").alias("slots"), F.max("seq").alias("last_seq"))
 
 
-@register("STR9_versions_released")
+@register("STR9_versions_released", f"WITH {_SCORED} SELECT run, CAST(version AS BIGINT) AS version, phase, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM sc GROUP BY ALL")
 def str9(spark, sf):
     """Versions and the rows scored by each."""
-    return loop(spark, sf).filter("kind = 'score'").groupBy("run", "version", "phase").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return replayed(spark, sf).filter("kind = 'score'").groupBy("run", "version", "phase").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-@register("STR10_abort")
+@register("STR10_abort", f"WITH {_R} SELECT run, CAST(1 AS BIGINT) AS last_version, count(*) AS n FROM r JOIN first USING (run) GROUP BY run")
 def str10(spark, sf):
-    """With a limit that no cooldown meets, every version stays the first."""
-    r = loop(spark, sf, cooldown_timeout=100, pause_mode=PauseMode.BACKLOG_THEN_NEW_FOREST)
+    """With a limit that no cooldown meets, every version stays the first, and every row is scored."""
+    r = replayed(spark, sf, cooldown_timeout=100, pause_mode=PauseMode.BACKLOG_THEN_NEW_FOREST)
     return r.filter("kind = 'score'").groupBy("run").agg(F.max("version").alias("last_version"), F.count("*").alias("n"))
 
 
-@register("STR11_pause_modes")
+@register("STR11_pause_modes", f"""WITH {_SCORED}, rel AS (SELECT t.run, t.shard, t.k, t.rn0, (SELECT min(rn) FROM r JOIN ver v ON v.run = r.run AND v.k = t.k WHERE r.run = t.run AND r.shard = t.shard AND r.rn > t.rn AND r.seq >= v.eff) AS rn1 FROM ret t),
+hd AS (SELECT sc.run, phase, (SELECT min(rn1) FROM rel WHERE rel.run = sc.run AND rel.shard = sc.shard AND sc.rn BETWEEN rn0 AND rn1) AS held, (SELECT min(rn0) FROM rel WHERE rel.run = sc.run AND rel.shard = sc.shard AND rn1 IS NULL AND sc.rn >= rn0) AS lost FROM sc)
+SELECT 'USE_OLD_FOREST' AS mode, run, count(*) AS n, count(*) FILTER (phase = 'A') AS drained FROM sc GROUP BY run
+UNION ALL SELECT 'BACKLOG_THEN_NEW_FOREST', run, count(*) FILTER (lost IS NULL), count(*) FILTER (lost IS NULL AND (phase = 'A' OR held IS NOT NULL)) FROM hd GROUP BY run""")
 def str11(spark, sf):
-    a = loop(spark, sf).withColumn("mode", F.lit("USE_OLD_FOREST"))
-    b = loop(spark, sf, pause_mode=PauseMode.BACKLOG_THEN_NEW_FOREST).withColumn("mode", F.lit("BACKLOG_THEN_NEW_FOREST"))
+    """Rows scored, and those of them that were held back, by what a cooldown does with rows."""
+    a = replayed(spark, sf).withColumn("mode", F.lit("USE_OLD_FOREST"))
+    b = replayed(spark, sf, pause_mode=PauseMode.BACKLOG_THEN_NEW_FOREST).withColumn("mode", F.lit("BACKLOG_THEN_NEW_FOREST"))
     return a.unionByName(b).filter("kind = 'score'").groupBy("mode", "run").agg(F.count("*").alias("n"), F.count_if(F.col("ingestion_time") == 0).alias("drained"))
 
 
-@register("STR12_side_output")
+@register("STR12_side_output", f"WITH {_R} SELECT run, k || '-' || shard || '-' || slot AS tree_id, shard, CAST(slot AS INTEGER) AS slot, CAST(k AS BIGINT) AS round_id FROM (SELECT run, 0 AS k, shard FROM r WHERE rn = {RING} + 4 AND run IN (SELECT run FROM first) UNION ALL SELECT run, k, shard FROM ret), range(4) s(slot)")
 def str12(spark, sf):
     """Trees are tagged rows beside the scores, told apart by a filter."""
-    return loop(spark, sf).filter("kind = 'tree'").select("run", F.col("id").alias("tree_id"), "shard", "slot", "round_id", "n_nodes")
+    return replayed(spark, sf).filter("kind = 'tree'").select("run", F.col("id").alias("tree_id"), "shard", "slot", "round_id")
 
 
-@register("STR13_control_rows")
+@register("STR13_control_rows", f"WITH {_R} SELECT run, 'round' AS kind, cm.since AS seq, CAST(k AS BIGINT) AS round_id FROM cm UNION ALL SELECT run, 'model', made, k FROM ver")
 def str13(spark, sf):
     """Rounds and versions, the two control streams, as one."""
-    r = loop(spark, sf)
+    r = replayed(spark, sf)
     return r.filter("kind = 'round'").select("run", "kind", "seq", "round_id").unionByName(r.filter("kind = 'model'").select("run", "kind", "seq", "round_id"))
 
 
@@ -183,16 +215,17 @@ def src5(spark, sf):
     return spark.read.parquet(out).groupBy((F.col("seq") % 10).alias("k")).agg(F.count("*").alias("n"), F.sum("seq").alias("total"))
 
 
-@register("SRC15_model_publisher", "SELECT CAST(2 AS BIGINT) AS version, 3 AS n_trees")
+@register("SRC15_model_publisher", "SELECT max(1 + user_id % 3) AS version, CAST(count(DISTINCT user_id % 3) AS INTEGER) AS versions, CAST(1 + max(user_id % 3) AS INTEGER) AS n_trees FROM events")
 def src15(spark, sf):
-    """Forests appended to a model table; the current one is the largest version, and a version is written once."""
+    """Forests appended to a model table, version v with its first v trees; the current one is the largest version, and a version is written once."""
     from tideglass.operators.forest import ModelStore
 
     store = ModelStore(spark, scratch(spark, "models"))
-    for v in (1, 2, 2):
-        store.append(v, literal_trees(), SAMPLE)
+    seen = sorted(r["v"] for r in table(spark, sf, "events").select((F.col("user_id") % 3 + 1).alias("v")).distinct().collect())
+    for v in [*seen, *seen]:
+        store.append(v, literal_trees()[:v], SAMPLE)
     version, model = store.current()
-    return spark.createDataFrame([(version, len(model["trees"]))], "version long, n_trees int")
+    return spark.createDataFrame([(version, store.versions().count(), len(model["trees"]))], "version long, versions int, n_trees int")
 
 
 @register("SNK2_dump", "SELECT event_id AS seq, event_type AS t FROM events")
@@ -213,7 +246,7 @@ def snk3(spark, sf):
     return spark.createDataFrame([(sum(seen),)], "n long")
 
 
-@register("STR14_checkpoint_restart", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra")
+@register("STR14_checkpoint_restart", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, 4 * count(*) AS n_values FROM events")
 def str14(spark, sf):
     """Onsets of a stateful stream that is stopped after each file, against those of the bounded computation."""
     v = shifted_values(spark, sf)
@@ -226,7 +259,7 @@ def str14(spark, sf):
         v.filter((F.col("seq") * 2 >= k * n) & (F.col("seq") * 2 < (k + 1) * n)).coalesce(1).write.mode("append").parquet(path)
         sinks.dump(stateful.stream_onsets(stateful.file_source(spark, path, schema), "hddm_w", hddm=config().hddm), out, progress)
     got = spark.read.parquet(out).select("feature_id", "seq")
-    return want.exceptAll(got).agg(F.count("*").alias("missing")).crossJoin(got.exceptAll(want).agg(F.count("*").alias("extra")))
+    return want.exceptAll(got).agg(F.count("*").alias("missing")).crossJoin(got.exceptAll(want).agg(F.count("*").alias("extra"))).crossJoin(spark.read.schema(schema).parquet(path).agg(F.count("*").alias("n_values")))
 
 
 @register("UDF1_flat_map", "SELECT CAST(d AS INTEGER) AS feature_id, count(*) AS n FROM events, range(4) t(d) GROUP BY 1")
@@ -253,15 +286,18 @@ def udf2(spark, sf):
 ORACLES["UDF2_keyed_state"] = "SELECT CAST(user_id % 3 AS INTEGER) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"
 
 
-@register("UDF3_detector_by_name", "SELECT * FROM (VALUES ('HDDM_W', 'FeatureHddm'), ('IKS', 'FeatureIks'), ('iks', 'FeatureIks'), ('other', 'rejected')) v(name, made)")
+@register("UDF3_detector_by_name", "SELECT DISTINCT name, CASE lower(name) WHEN 'iks' THEN 'FeatureIks' WHEN 'hddm_w' THEN 'FeatureHddm' ELSE 'rejected' END AS made FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'HDDM_W' WHEN 1 THEN 'IKS' WHEN 2 THEN 'iks' ELSE event_type END AS name FROM events)")
 def udf3(spark, sf):
+    """The detectors that the names in a table ask for."""
+
     def made(name: str) -> str:
         try:
             return type(detectors.make_detector(name)).__name__
         except ValueError:
             return "rejected"
 
-    return spark.createDataFrame([(n, made(n)) for n in ("HDDM_W", "IKS", "iks", "other")], "name string, made string")
+    names = table(spark, sf, "events").selectExpr("CASE event_id % 4 WHEN 0 THEN 'HDDM_W' WHEN 1 THEN 'IKS' WHEN 2 THEN 'iks' ELSE event_type END AS name").distinct().collect()
+    return spark.createDataFrame([(r["name"], made(r["name"])) for r in names], "name string, made string")
 
 
 @register("UDF4_detector_interface")

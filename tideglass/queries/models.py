@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -98,9 +99,10 @@ def prj3(spark, sf):
     return rounded(s.select("seq", "id", "timestamp", "label", "score", "forest_version", "phase", "ingestion_time"))
 
 
-@register("IF8_tree_counts", "SELECT CAST(p AS INTEGER) AS p, CAST(ceil(100 / p::DOUBLE) AS INTEGER) AS per_shard, CAST(p * ceil(100 / p::DOUBLE) AS INTEGER) AS actual FROM range(1, 9) r(p)")
+@register("IF8_tree_counts", "SELECT DISTINCT CAST(p AS INTEGER) AS p, CAST(ceil(100 / p::DOUBLE) AS INTEGER) AS per_shard, CAST(p * ceil(100 / p::DOUBLE) AS INTEGER) AS actual FROM (SELECT 1 + user_id % 23 AS p FROM events)")
 def if8(spark, sf):
-    rows = [(p, ForestConfig(parallelism=p).trees_per_shard, ForestConfig(parallelism=p).actual_trees) for p in range(1, 9)]
+    ps = [r["p"] for r in table(spark, sf, "events").select((F.col("user_id") % 23 + 1).alias("p")).distinct().collect()]
+    rows = [(p, ForestConfig(parallelism=p).trees_per_shard, ForestConfig(parallelism=p).actual_trees) for p in ps]
     return spark.createDataFrame(rows, "p int, per_shard int, actual int")
 
 
@@ -140,10 +142,7 @@ def trees(spark, sf, round_: int = 0):
     return forest.train(pools(spark, sf), CONFIG, round_)
 
 
-_KEYS = "k AS (SELECT CAST(s AS INTEGER) AS shard, CAST(t AS INTEGER) AS slot FROM range(2) a(s), range(4) b(t))"
-
-
-@register("IF1_tree_invariants", f"WITH {_KEYS} SELECT shard, slot, 64 AS subsample_size, 6 AS depth_limit, 4 AS dimension, CAST(64 AS BIGINT) AS leaf_rows, true AS preorder, true AS binary_tree FROM k")
+@register("IF1_tree_invariants", f"WITH {_POOLS} SELECT shard, slot, CAST(least(64, count(*)) AS INTEGER) AS subsample_size, CAST(greatest(1, ceil(log2(least(64, count(*))))) AS INTEGER) AS depth_limit, CAST(max(len(features)) AS INTEGER) AS dimension, least(64, count(*)) AS leaf_rows, true AS preorder, true AS binary_tree FROM pool GROUP BY shard, slot")
 def if1(spark, sf):
     """Leaves hold the whole subsample, children follow their parents, inner nodes are one fewer than leaves."""
     t = trees(spark, sf).select(F.col("producer_subtask").alias("shard"), F.col("slot_index").alias("slot"), "tree.*")
@@ -166,7 +165,7 @@ def if3(spark, sf):
     return pools(spark, sf).filter("slot = 0").groupBy("shard").applyInPandas(build, "shard int, subsample_size int, pool long")
 
 
-@register("IF4_reproducible", "SELECT CAST(8 AS BIGINT) AS trees, CAST(8 AS BIGINT) AS equal")
+@register("IF4_reproducible", f"WITH {_POOLS} SELECT count(DISTINCT (shard, slot)) AS trees, count(DISTINCT (shard, slot)) AS equal FROM pool")
 def if4(spark, sf):
     """The same seed gives the same trees however rows are dealt."""
     a = trees(spark, sf).select("tree_id", F.to_json("tree").alias("a"))
@@ -182,29 +181,31 @@ def versions(spark, sf):
     return t.unionByName(later).unionByName(whole).unionByName(stray)
 
 
-@register("AGG1_assembly", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT), 64, 8), (2, 2, 64, 8)) v(version, round_id, subsample_size, n_trees)")
+@register("AGG1_assembly", f"WITH {_POOLS}, ps AS (SELECT shard, slot, least(64, count(*)) AS m FROM pool GROUP BY shard, slot) SELECT CAST(version AS BIGINT) AS version, CAST(round_id AS BIGINT) AS round_id, CAST(max(m) AS INTEGER) AS subsample_size, CAST(count(*) AS INTEGER) AS n_trees FROM ps, (VALUES (1, 0), (2, 2)) v(version, round_id) GROUP BY version, round_id HAVING count(*) = 8 AND count(DISTINCT m) = 1")
 def agg1(spark, sf):
     """Rounds 0 and 2 are whole, round 1 lacks a tree, a stray shard is left out."""
     return forest.assemble(versions(spark, sf), CONFIG).select("version", "round_id", "subsample_size", F.size("trees").alias("n_trees"))
 
 
-@register("PRJ4_slot_filter", f"WITH {_KEYS} SELECT shard AS producer_subtask, slot AS slot_index FROM k")
+@register("PRJ4_slot_filter", f"WITH {_POOLS} SELECT DISTINCT shard AS producer_subtask, slot AS slot_index FROM pool")
 def prj4(spark, sf):
     t = trees(spark, sf).unionByName(trees(spark, sf).withColumn("slot_index", F.col("slot_index") + 50))
     return t.filter(F.col("producer_subtask").between(0, CONFIG.parallelism - 1) & F.col("slot_index").between(0, CONFIG.trees_per_shard - 1)).select("producer_subtask", "slot_index")
 
 
-@register("SRT4_tree_order", f"WITH {_KEYS} SELECT CAST(row_number() OVER (ORDER BY shard, slot) - 1 AS INTEGER) AS pos, shard, slot FROM k")
+@register("SRT4_tree_order", f"WITH {_POOLS} SELECT CAST(row_number() OVER (ORDER BY shard, slot) - 1 AS INTEGER) AS pos, shard, slot FROM (SELECT DISTINCT shard, slot FROM pool)")
 def srt4(spark, sf):
     f = forest.assemble(trees(spark, sf), CONFIG)
     return f.select(F.posexplode("trees").alias("pos", "t")).select("pos", F.col("t.producer_subtask").alias("shard"), F.col("t.slot_index").alias("slot"))
 
 
-@register("IF11_json_round_trip", "SELECT CAST(1 AS BIGINT) AS version, 8 AS n_trees, true AS same")
+@register("IF11_json_round_trip", f"WITH {_POOLS} SELECT CAST(1 AS BIGINT) AS version, shard, slot, CAST(least(64, count(*)) AS INTEGER) AS subsample_size, least(64, count(*)) AS leaf_rows, true AS same FROM pool GROUP BY shard, slot")
 def if11(spark, sf):
     f = forest.assemble(trees(spark, sf), CONFIG)
-    back = forest.from_json(forest.to_json(f)).select("version", F.to_json("trees").alias("b"), F.size("trees").alias("n_trees"))
-    return f.select("version", F.to_json("trees").alias("a")).join(back, "version").select("version", "n_trees", (F.col("a") == F.col("b")).alias("same"))
+    each = lambda df, name: df.select("version", F.explode("trees").alias("t")).select("version", F.col("t.producer_subtask").alias("shard"), F.col("t.slot_index").alias("slot"), F.col("t.tree").alias(name))
+    both = each(f, "a").join(each(forest.from_json(forest.to_json(f)), "b"), ["version", "shard", "slot"])
+    rows = F.aggregate(F.filter("b.nodes", lambda n: n["feature"] == -1), F.lit(0).cast("long"), lambda x, n: x + n["size"])
+    return both.select("version", "shard", "slot", F.col("b.subsample_size").alias("subsample_size"), rows.alias("leaf_rows"), (F.to_json("a") == F.to_json("b")).alias("same"))
 
 
 @register("SC3_batch_ids", "SELECT event_id, (user_id << 32) | (event_id % 100) AS batch_id, ((user_id << 32) | (event_id % 100)) & 4294967295 AS round_id, ((user_id << 32) | (event_id % 100)) >> 32 AS shard FROM events")
@@ -270,7 +271,12 @@ def embeddings(spark, sf):
     return rounded(metrics.roc_auc(forest.score(e, t, t[0]["subsample_size"])))
 
 
-@register("JN2_scored_as_of", None)
+#: The walk, and the same with thresholds half as large again.
+_TAIL = WALK[WALK.index("\nwk(") + 1 :]
+_WALKS = f"{WALK}, " + re.sub(r"\b(wk|lf|sc)\b", r"\g<1>2", _TAIL.replace("< n.threshold", "< n.threshold * 1.5::DOUBLE"))
+
+
+@register("JN2_scored_as_of", f"{_WALKS} SELECT seq, CAST(1 AS BIGINT) AS version, round(score, 6) AS score FROM sc, (SELECT count(*) AS n FROM events) WHERE seq < n // 2 UNION ALL SELECT seq, 2, round(score, 6) FROM sc2, (SELECT count(*) AS n FROM events) WHERE seq >= n // 2")
 def jn2_scored(spark, sf):
     """Each row with the score of the version that was current at it, of two versions in one pass."""
     n = table(spark, sf, "events").count()

@@ -201,10 +201,15 @@ def win16(spark, sf):
     return degraded(spark, sf)
 
 
-@register("JN6_missed_segments", f"WITH {_SEGS}, {O} SELECT * FROM segs WHERE NOT EXISTS (SELECT 1 FROM o WHERE feature_id = 0 AND seq % 1000 < 100 AND seq BETWEEN seg_start - 50 AND seg_end + 50)")
+@register("JN6_missed_segments", f"WITH {_SEGS}, {O}, late AS (SELECT seq FROM o, (SELECT count(*) AS n FROM events) WHERE seq * 25 >= n * 19) SELECT tau, segs.* FROM segs, (VALUES (CAST(50 AS BIGINT)), (1000)) t(tau) WHERE NOT EXISTS (SELECT 1 FROM late WHERE seq BETWEEN seg_start - tau AND seg_end + tau)")
 def jn6(spark, sf):
-    o = onsets(spark, sf).filter("feature_id = 0 AND seq % 1000 < 100")
-    return joins.missed_segments(degraded(spark, sf), o, 50)
+    """Segments without an onset of the last six 25ths of the stream: some by a narrow margin are, by a wide one are not."""
+    n = F.broadcast(table(spark, sf, "events").agg(F.count("*").alias("_n")))
+    late, low, out = onsets(spark, sf).crossJoin(n).filter("seq * 25 >= _n * 19").drop("_n"), degraded(spark, sf), None
+    for tau in (50, 1000):
+        missed = joins.missed_segments(low, late, tau).select(F.lit(tau).cast("long").alias("tau"), "seg_start", "seg_end")
+        out = missed if out is None else out.unionByName(missed)
+    return out
 
 
 # ---- onsets, rounds and their joins -----------------------------------------------------------------------------------------
