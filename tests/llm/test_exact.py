@@ -480,3 +480,31 @@ def test_sql(spark, name):
     got = sorted((tuple(r) for r in df.select(cols).collect()), key=key)
     want = sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLES[name]})").fetchall(), key=key)
     assert got == want
+
+
+def test_equal_rows_of_shards(spark, monkeypatch):
+    """Copies of one row are counted, placed as one and made again, in blocks: shards and slots are those of that many rows."""
+    monkeypatch.setattr(sharding, "COPIES", 40)
+    rows = [(None, "hot")] * 333 + [(7, "x")] * 40 + [(7, "y")] * 41 + [(k, f"t{k}") for k in range(100, 400)]
+    out = sharding.ring_shards(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text_crc32"]) for r in out) == sorted((d is None, d or 0, zlib.crc32(t.encode())) for d, t in rows)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    sizes = [len(s) for s in slots.values()]
+    assert len(sizes) == 6 and max(sizes) - min(sizes) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_equal_rows_of_a_store(spark, tmp_path):
+    """Rows that are equal in id and text may stand in several parts; starts are gapless all the same."""
+    rows = [(5, "same text here")] * 300 + [(k, f"text {k}") for k in range(10)]
+    path = str(tmp_path / "store")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), path, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in token_store.read_tokens(spark, path).collect())
+    assert len(got) == len(rows) and [d for _, _, d in got] == sorted(d for d, _ in rows)
+    assert [s for s, _, _ in got] == np.concatenate([[0], np.cumsum([n for _, n, _ in got])[:-1]]).tolist()
+    assert spark.read.parquet(path).select("part").distinct().count() > 1

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tideglass.llm.common import checkpoint
 
 VNODES = 256
+#: Copies of one row that are made by one task.
+COPIES = 10_000
 
 
 def ring(n_shards: int, vnodes: int = VNODES) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +72,9 @@ def ring_shards(df: DataFrame, n_shards: int, epsilon: float | None = None, vnod
 
     epsilon None balances row counts to at most one apart; a positive epsilon lets a shard hold up to (1 + epsilon) times the
     mean, which moves fewer rows. Slots are gapless from 0 in each shard. A row's place depends on the set of rows alone: ranks
-    follow (hash, id, size, checksum), and rows that are equal in all of these are interchangeable. Null ids and texts hash like any
-    other value; an empty table gives no rows; other columns are ignored.
+    follow (hash, id, size, checksum), and rows that are equal in all of these are interchangeable: they are counted before they meet in an
+    arc, and made again after they have their places. Null ids and texts hash like any other value; an empty table gives no rows; other columns
+    are ignored.
     """
     at, shard_of = ring(n_shards, vnodes)
 
@@ -80,9 +83,10 @@ def ring_shards(df: DataFrame, n_shards: int, epsilon: float | None = None, vnod
         return pd.Series((np.searchsorted(at, h.to_numpy(np.int64)) % len(at)).astype(np.int32))
 
     rows = df.select(F.col(id_col).alias("_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("_id", "size", "text_crc32").agg(F.count("*").alias("_n"))
     rows = checkpoint(rows.withColumn("_h", F.xxhash64("_id", "text_crc32")).withColumn("_arc", arc("_h")))
     counts = np.zeros(len(at), dtype=np.int64)
-    for a, n in rows.groupBy("_arc").count().collect():  # one number for each of the ring's arcs
+    for a, n in rows.groupBy("_arc").agg(F.sum("_n")).collect():  # one number for each of the ring's arcs
         counts[a] = n
     pieces = flows(counts, shard_of, n_shards, epsilon)
     filled, starts = [0] * n_shards, []
@@ -99,5 +103,11 @@ def ring_shards(df: DataFrame, n_shards: int, epsilon: float | None = None, vnod
         k = np.searchsorted(code, (arcs.to_numpy(np.int64) << 40) + rank.to_numpy(np.int64), side="right") - 1
         return pd.DataFrame({"shard": to[k, 0].astype(np.int32), "slot": to[k, 1] + rank.to_numpy(np.int64)})
 
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy("_h", "_id", "size", "text_crc32")) - 1)
-    return ranked.select("_id", "size", "text_crc32", place("_arc", "_rank").alias("_to")).select(F.col("_id").alias(id_col), "size", "text_crc32", "_to.shard", "_to.slot")
+    order = Window.partitionBy("_arc").orderBy("_h", "_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_rank", F.sum("_n").over(order) - F.col("_n"))
+    blocks = ranked.filter(F.col("_n") > COPIES).select("*", F.explode(F.expr(f"sequence(0L, _n - 1, {COPIES}L)")).alias("_from")).select("_id", "size", "text_crc32", "_arc", (F.col("_rank") + F.col("_from")).alias("_rank"), F.least(F.lit(COPIES), F.col("_n") - F.col("_from")).alias("_n"))
+    few = ranked.filter(F.col("_n") <= COPIES).select(*blocks.columns)
+    copies = lambda df: df.select("*", F.explode(F.expr("sequence(0L, _n - 1)")).alias("_copy"))
+    each = copies(few).unionByName(copies(blocks.repartition("_arc", "_rank")))
+    placed = each.select("_id", "size", "text_crc32", place("_arc", F.col("_rank") + F.col("_copy")).alias("_to"))
+    return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", "_to.shard", "_to.slot")

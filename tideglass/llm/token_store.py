@@ -75,8 +75,8 @@ def decode_chunk(payload: bytes, sizes: list[int], n_ids: int, planes_per_block:
 
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes a store of df's texts, ascending by id (null ids first; equal ids by their texts' checksum), each text's ids followed by
-    end_id. Null texts have the end id alone; an empty table makes an empty store. Rows are dealt by ranges of (id, checksum), so a
-    repeated id is spread, and every range is encoded in order, one chunk in memory at a time. A lost task is run again; the folder appears
+    end_id. Null texts have the end id alone; an empty table makes an empty store. Rows are dealt by ranges of (id, checksum,
+    partition that they came in), so a repeated id is spread, and so are equal rows, and every range is encoded in order, one chunk in memory at a time. A lost task is run again; the folder appears
     as a whole.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -105,7 +105,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     key = F.crc32(F.col("text").cast("binary"))
-    rows.repartitionByRange("id", key).sortWithinPartitions("id", key).mapInArrow(trimmed(run), SCHEMA).write.parquet(path)
+    ranged = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange("id", key, "_from").sortWithinPartitions("id", key)
+    ranged.select("id", "text").mapInArrow(trimmed(run), SCHEMA).write.parquet(path)
 
 
 ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("planes_per_block", pa.int32()), ("plane_sizes", pa.list_(pa.int32())), ("payload", pa.binary())])
