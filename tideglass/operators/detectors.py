@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tideglass.config import DriftStatus, HddmConfig, IksConfig, PerFeatureHddmConfig
 from tideglass.functions.scalar import ewma_bound, hoeffding_bound, ks_confirm_threshold
-from tideglass.operators.running import running, sliding_mean
+from tideglass.operators.running import running, sliding_mean, value_ranges
 
 STABLE, WARN, DRIFT = DriftStatus.STABLE, DriftStatus.WARN, DriftStatus.DRIFT
 
@@ -362,11 +362,11 @@ def warn_runs(judged: DataFrame, timeout: int) -> DataFrame:
 def two_sample(df: DataFrame, by: list[str], value: str, current: str, buckets: int = 1024) -> DataFrame:
     """KS and Kuiper statistics of the rows with and without the Boolean `current`, which are equally many in each group.
 
-    Values are counted first and accumulated in two steps: over equal ranges of values, then inside each range.
+    Values are counted first and accumulated in two steps: over ranges of values, then inside each range.
     """
     counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(F.when(F.col(current), 1).otherwise(-1)).alias("_d"), F.count("*").alias("_n"))
-    bounds = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
-    placed = (counts.join(bounds, by) if by else counts.crossJoin(bounds)).withColumn("_b", F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets), F.lit(0)))
+    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    placed = value_ranges(counts.join(whole, by) if by else counts.crossJoin(whole), by, "_v", buckets).withColumnRenamed("_range", "_b")
     keys = [*by, "_b"]
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*keys).agg(F.sum("_d").alias("_s")).select(*keys, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))

@@ -1,7 +1,7 @@
 """Evaluation of scored rows: ROC AUC with tied ranks, rates at thresholds, thresholds, segments, windows, delays.
 
-Rows are counted by distinct score first; what has to be accumulated over scores is accumulated over equal ranges of scores and then inside
-each range, so no task sees all rows. Every function takes the columns to group by.
+Rows are counted by distinct score first; what has to be accumulated over scores is accumulated over ranges of scores of about as many rows and then
+inside each range, so no task sees all rows. Every function takes the columns to group by.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.operators.running import value_ranges
+
 RANGES = 1024
 
 
@@ -16,8 +18,8 @@ def score_counts(df: DataFrame, by: list[str]) -> DataFrame:
     """by, score, pos, neg (rows with this score), n_pos, n_neg (of the group), neg_below and pos_below (rows with lower scores)."""
     is_pos = F.col("label") == 1
     counts = df.groupBy(*by, "score").agg(F.sum(F.when(is_pos, 1).otherwise(0)).alias("pos"), F.sum(F.when(is_pos, 0).otherwise(1)).alias("neg"))
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    rows = (counts.join(totals, by) if by else counts.crossJoin(totals)).withColumn("_range", F.coalesce(F.floor((F.col("score") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * RANGES), F.lit(0)))
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    rows = value_ranges(counts.join(totals, by) if by else counts.crossJoin(totals), by, "score", RANGES)
     keys = [*by, "_range"]
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     below = rows.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).select(*keys, F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_pb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nb"))

@@ -60,3 +60,15 @@ def sliding_mean(df: DataFrame, by: list[str], order: str, window: int, value: s
     summed = copies.withColumns({"_sum": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_row": F.row_number().over(w)})
     last = summed.withColumns({count: F.least(F.col("_row"), F.lit(window)), "_left": F.coalesce(F.lag("_sum", window).over(w), F.lit(0.0))})
     return last.filter("_own").withColumn(mean, (F.col("_sum") - F.col("_left")) / F.col(count)).drop("_block", "_own", "_sum", "_row", "_left")
+
+
+def value_ranges(df: DataFrame, by: list[str], value: str, ranges: int = 1024) -> DataFrame:
+    """df with _range (long), which ascends with `value` in each group: equal parts of the span of values, of which those with more than their share
+    of the rows are cut once more into equal parts of their own span, so that crowded values do not meet in one."""
+    v = F.col(value)
+    part = lambda lo, hi, n: F.coalesce(F.floor((v - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0)) * n), F.lit(0))
+    spans = df.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_rows"))
+    first = (df.join(spans, by) if by else df.crossJoin(spans)).withColumn("_part", part("_lo", "_hi", ranges))
+    parts = first.groupBy(*by, "_part").agg(F.min(v).alias("_plo"), F.max(v).alias("_phi"), F.count("*").alias("_prows"))
+    cut = first.join(parts, [*by, "_part"]).withColumn("_cuts", F.ceil(F.col("_prows") * ranges / F.col("_rows")))
+    return cut.withColumn("_range", F.shiftleft(F.col("_part").cast("long"), 32) + part("_plo", "_phi", F.col("_cuts"))).drop("_lo", "_hi", "_rows", "_part", "_plo", "_phi", "_prows", "_cuts")
