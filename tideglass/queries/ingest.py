@@ -55,14 +55,12 @@ def src2(spark, sf):
 
 @register("SRC2a_header", f"WITH {_LN}, {_GOOD} SELECT count(*) AS kept, min(line_no) AS first_line FROM good")
 def src2a(spark, sf):
-    rows = lines(spark, sf).filter(F.trim("value") != "")
-    head = F.broadcast(rows.agg(F.min("line_no").alias("_h")))
-    return rows.join(head, F.col("line_no") != F.col("_h")).agg(F.count("*").alias("kept"), F.min("line_no").alias("first_line"))
+    return text.data_lines(lines(spark, sf)).agg(F.count("*").alias("kept"), F.min("line_no").alias("first_line"))
 
 
 @register("SRC2b_blank_lines", f"WITH {_LN} SELECT line_no, trim(value) AS value FROM ln WHERE trim(value) <> ''")
 def src2b(spark, sf):
-    return lines(spark, sf).select("line_no", F.trim("value").alias("value")).filter("value != ''")
+    return text.data_lines(lines(spark, sf), has_header=False).select("line_no", "value")
 
 
 @register("SRC2c_short_lines", f"WITH {_LN}, {_GOOD} SELECT len(p) AS columns, count(*) AS n FROM parts WHERE len(p) > 2 GROUP BY len(p)")

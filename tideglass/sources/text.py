@@ -13,6 +13,14 @@ from tideglass.operators.routing import dense_numbers
 NUMBER = r"^[+-]?[0-9]+$"
 
 
+def data_lines(lines: DataFrame, has_header: bool = True) -> DataFrame:
+    """lines: line_no (unique), value -> those that are not blank, trimmed, without the first of them if that is a header."""
+    rows = lines.withColumn("value", F.trim("value")).filter("value != ''")
+    if has_header:
+        rows = rows.join(F.broadcast(rows.agg(F.min("line_no").alias("_header"))), F.col("line_no") != F.col("_header")).drop("_header")
+    return rows
+
+
 def parse_csv(lines: DataFrame, *, has_header: bool = True, has_id: bool = True, has_label: bool = True, auto_increment_id: bool = True, sequence: str = "PARSE_ID") -> DataFrame:
     """lines: line_no (unique), value -> id, features, label, seq.
 
@@ -23,9 +31,7 @@ def parse_csv(lines: DataFrame, *, has_header: bool = True, has_id: bool = True,
     source = SequenceSource(sequence)
     if source is SequenceSource.FROM_FIELD:
         raise NotImplementedError("a sequence from a field is not supported")
-    rows = lines.withColumn("value", F.trim("value")).filter("value != ''")
-    if has_header:
-        rows = rows.join(F.broadcast(rows.agg(F.min("line_no").alias("_header"))), F.col("line_no") != F.col("_header")).drop("_header")
+    rows = data_lines(lines, has_header)
     parts = F.split(F.regexp_replace("value", ",+$", ""), ",", -1)
     rows = rows.withColumn("_parts", F.transform(parts, lambda x: F.trim(x)))
     n = F.size("_parts")
