@@ -9,6 +9,7 @@ from collections import defaultdict, deque
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -287,8 +288,21 @@ def test_toxicity_held_out():
     assert sum(p and not y for p, y in hard) <= 0.02 * sum(not y for _, y in hard)
 
 
-def test_toxicity_query(spark):
+def test_toxicity_query(spark, documents):
+    """Scores against a plain computation: windows compressed one by one under both dictionaries, the best of all runs of windows, the curve."""
     out = queries.op7_toxicity(spark, SF).collect()
+    m = toxicity.train(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
+    ordinary, toxic = toxicity._compressor(m.ordinary), toxicity._compressor(m.toxic)
+    scores = {r["doc_id"]: r["score"] for r in out}
+    assert len(scores) == len(out) == len(documents)
+    for d, r in documents.items():
+        words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        windows = [b"".join(xxhash.xxh64_digest(w) for w in words[a : a + 16]) for a in range(0, len(words), 16)]
+        gains = [g if (g := len(ordinary.compress(w)) - len(toxic.compress(w))) >= m.least else 0 for w in windows]
+        at = [k for k, g in enumerate(gains) if g]
+        best = max((sum(gains[i : j + 1]) - m.drift * (j - i) for i in at for j in at if i <= j), default=0.0)
+        distance = max(0.0, m.rate * best - np.log(max(1, len(windows))))
+        assert scores[d] == pytest.approx(1 / (1 + np.exp(-np.clip(m.bias + m.slope * np.log1p(distance), -30, 30))), abs=1e-9), d
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7) for r in out)
 
 
