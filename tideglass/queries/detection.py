@@ -114,12 +114,26 @@ def det1c(spark, sf):
     return rounded(out)
 
 
-@register("DET5_feature_iks")
+#: Onsets as segments, each with the reference from row r0: in steps of 1,000 looks after row pos, the first above the threshold opens the gate, the
+#: 400th row after it closes it with the peak, and the next reference begins.
+_IKS_ONSETS = f"""WITH RECURSIVE {_UNIT}, top AS (SELECT feature_id, max(n) AS n_rows FROM z GROUP BY feature_id),
+ik(feature_id, r0, pos, s, peak) AS (SELECT feature_id, CAST(1 AS BIGINT), CAST(400 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM top UNION ALL (
+WITH cur AS (SELECT ik.feature_id, r0, pos, n_rows FROM ik JOIN top USING (feature_id) WHERE pos < n_rows),
+lk AS (SELECT c.feature_id, r0, pos, z.n AS looked FROM cur c JOIN z ON z.feature_id = c.feature_id AND z.n > pos AND z.n <= pos + 1500),
+vals AS (SELECT l.feature_id, l.looked, z.x, CASE WHEN z.n BETWEEN r0 AND r0 + 399 THEN -1 ELSE 0 END + CASE WHEN z.n > l.looked - 400 AND z.n <= l.looked THEN 1 ELSE 0 END AS d FROM lk l JOIN z ON z.feature_id = l.feature_id AND z.n >= r0 AND z.n <= l.looked AND (z.n < r0 + 400 OR z.n > l.looked - 400)),
+g AS (SELECT feature_id, looked, sum(sum(d)) OVER (PARTITION BY feature_id, looked ORDER BY x) AS g FROM vals GROUP BY feature_id, looked, x),
+ks AS (SELECT feature_id, looked, max(abs(g)) / 400.0::DOUBLE AS ks FROM g GROUP BY feature_id, looked),
+fs AS (SELECT c.feature_id, r0, pos, n_rows, (SELECT min(looked) FROM ks WHERE ks.feature_id = c.feature_id AND looked <= pos + 1000 AND ks.ks > sqrt(-0.5::DOUBLE * ln(0.001::DOUBLE)) * sqrt(2.0::DOUBLE / 400)) AS s FROM cur c)
+SELECT feature_id, CASE WHEN s IS NULL THEN r0 ELSE s + 401 END, CASE WHEN s IS NULL THEN pos + 1000 ELSE s + 800 END, CASE WHEN s + 400 <= n_rows THEN s END, (SELECT max(ks.ks) FROM ks WHERE ks.feature_id = fs.feature_id AND looked BETWEEN fs.s AND fs.s + 400) FROM fs)),
+on_ AS (SELECT feature_id, s - 1 AS seq, round(peak, 6) AS ks, s + 399 AS emit_seq FROM ik WHERE s IS NOT NULL)"""
+
+
+@register("DET5_feature_iks", f"{_IKS_ONSETS} SELECT * FROM on_")
 def det5(spark, sf):
     return rounded(detectors.onsets(shifted_values(spark, sf), "iks", IKS))
 
 
-@register("WIN8_confirm_gate")
+@register("WIN8_confirm_gate", f"{_IKS_ONSETS} SELECT feature_id, count(*) AS n, max(ks) AS peak, min(emit_seq - seq) AS least_wait FROM on_ GROUP BY feature_id")
 def win8(spark, sf):
     """Peaks that the confirm gate reports, by feature."""
     o = detectors.onsets(shifted_values(spark, sf), "iks", IKS)
