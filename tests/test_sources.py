@@ -52,3 +52,29 @@ def test_gate():
 def test_markdown(spark, tmp_path):
     sinks.write_report(spark.createDataFrame([(1, "a")], "n int, t string"), str(tmp_path / "r"), "markdown")
     assert [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()] == ["| n | t |", "| --- | --- |", "| 1 | a |"]
+
+
+def test_kafka_options(spark):
+    """What the source asks of the connector, which is not installed here, and the columns that it makes of a topic's rows."""
+    from tideglass.streaming import stateful
+
+    asked = {}
+
+    class Reader:
+        def format(self, name):
+            asked["format"] = name
+            return self
+
+        def option(self, name, value):
+            asked[name] = value
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(bytearray(b"1"), bytearray("1,2,é".encode()), "rows", 0, 7)], "key binary, value binary, topic string, partition int, offset long").selectExpr("*", "timestamp_millis(5) AS timestamp", "0 AS timestampType")
+
+    class Session:
+        readStream = Reader()
+
+    df = stateful.kafka_source(Session(), "a:9092,b:9092", "rows")
+    assert asked == {"format": "kafka", "kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "rows", "startingOffsets": "earliest"}
+    assert df.dtypes == [("value", "string"), ("timestamp", "timestamp")] and df.first()["value"] == "1,2,é"
