@@ -125,38 +125,38 @@ def label_metrics(drifts: list[tuple[int, int]], found: list[int], tau: int) ->
 SWEEP = "k int, ks_min double, persist int, refractory int, recall double, precision double, median_latency double, n_onsets int, n_false int"
 
 
-def sweep(events: DataFrame, drifts: list[tuple[int, int]], grid: DataFrame, threshold: float, window: int, tau: int) -> DataFrame:
-    """events: offline replays (feature_id, pos, kind, ks); grid: k, ks_min, persist, refractory. A row per grid cell with the label
-    metrics of its quorum. ks_min up to the threshold keeps the replay's onsets, above it crossings of ks_min are taken from the looks. The
-    looks of a replay (one per stride and feature) go to each cell's task."""
-    cells = grid.withColumn("_cell", F.monotonically_increasing_id())
+def _cells(edges: DataFrame, looks: DataFrame, cells: list[tuple[int, float, int, int]], drifts: list[tuple[int, int]], window: int, tau: int) -> DataFrame:
+    """edges: low, feature_id, pos; cells: (k, low, persist, refractory), the parameters of a report. A group holds one low's edges and the positions of
+    looks, whatever the number of features, and judges all cells that share it."""
+    lows = sorted({c[1] for c in cells})
+    points = looks.select("pos").distinct().select(F.explode(F.array(*(F.lit(float(x)) for x in lows))).alias("low"), F.lit(None).cast("int").alias("feature_id"), "pos")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, low, persist, refractory = int(pdf["k"].iloc[0]), float(pdf["ks_min"].iloc[0]), int(pdf["persist"].iloc[0]), int(pdf["refractory"].iloc[0])
-        looks = pdf[pdf["kind"] == "look"]
-        if low <= threshold:
-            edges = [(f, p) for f, p, kind in zip(pdf["feature_id"], pdf["pos"], pdf["kind"]) if kind == "onset"]
-        else:
-            edges = []
-            for f, own in looks.sort_values("pos").groupby("feature_id"):
-                above = (own["ks"] > low).to_numpy()
-                edges += [(f, p) for p, now, was in zip(own["pos"], above, [False, *above[:-1]]) if now and not was]
-        points = sorted(looks["pos"].unique().tolist())
-        m = label_metrics(drifts, grid_quorum(edges, points, k, persist, refractory, window), tau)
-        return pd.DataFrame([{"k": k, "ks_min": low, "persist": persist, "refractory": refractory, **m}])
-
-    return F.broadcast(cells).join(events).groupBy("_cell").applyInPandas(run, SWEEP)
+        low, edge = float(pdf["low"].iloc[0]), pdf["feature_id"].notna()
+        own = list(zip(pdf["feature_id"][edge].astype(int).tolist(), pdf["pos"][edge].tolist()))
+        at = sorted(pdf["pos"][~edge].tolist())
+        return pd.DataFrame([{"k": k, "ks_min": low, "persist": persist, "refractory": refractory, **label_metrics(drifts, grid_quorum(own, at, k, persist, refractory, window), tau)} for k, x, persist, refractory in cells if x == low])
 
+    return edges.select("low", "feature_id", "pos").unionByName(points).groupBy("low").applyInPandas(run, SWEEP)
 
-def confirm_sweep(events: DataFrame, drifts: list[tuple[int, int]], grid: DataFrame, window: int, tau: int) -> DataFrame:
-    """grid: k, ks_confirm, refractory; crossings with a peak of at least ks_confirm are edges. A row per cell, as in sweep()."""
-    cells = grid.withColumn("_cell", F.monotonically_increasing_id())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, low, refractory = int(pdf["k"].iloc[0]), float(pdf["ks_confirm"].iloc[0]), int(pdf["refractory"].iloc[0])
-        edges = [(f, p) for f, p, kind, ks in zip(pdf["feature_id"], pdf["pos"], pdf["kind"], pdf["ks"]) if kind == "crossing" and ks >= low]
-        points = sorted(pdf[pdf["kind"] == "look"]["pos"].unique().tolist())
-        m = label_metrics(drifts, grid_quorum(edges, points, k, 1, refractory, window), tau)
-        return pd.DataFrame([{"k": k, "ks_min": low, "persist": 1, "refractory": refractory, **m}])
+def sweep(events: DataFrame, drifts: list[tuple[int, int]], grid: DataFrame, threshold: float, window: int, tau: int) -> DataFrame:
+    """events: offline replays (feature_id, pos, kind, ks); grid: k, ks_min, persist, refractory. A row per grid cell with the label
+    metrics of its quorum. ks_min up to the threshold keeps the replay's onsets, above it crossings of ks_min are taken from the looks."""
+    cells = [(r["k"], float(r["ks_min"]), r["persist"], r["refractory"]) for r in grid.select("k", "ks_min", "persist", "refractory").collect()]
+    lows = sorted({c[1] for c in cells})
+    looks = events.filter("kind = 'look'")
+    edges = events.filter("kind = 'onset'").select(F.explode(F.array(*(F.lit(x) for x in lows if x <= threshold)).cast("array<double>")).alias("low"), "feature_id", "pos")
+    if above := [x for x in lows if x > threshold]:
+        before = F.lag("ks").over(Window.partitionBy("feature_id").orderBy("pos"))
+        seen = looks.withColumn("_before", before).select(F.explode(F.array(*map(F.lit, above))).alias("low"), "feature_id", "pos", "ks", "_before")
+        edges = edges.unionByName(seen.filter((F.col("ks") > F.col("low")) & ~F.coalesce(F.col("_before") > F.col("low"), F.lit(False))).select("low", "feature_id", "pos"))
+    return _cells(edges, looks, cells, drifts, window, tau)
+
 
-    return F.broadcast(cells).join(events).groupBy("_cell").applyInPandas(run, SWEEP)
+def confirm_sweep(events: DataFrame, drifts: list[tuple[int, int]], grid: DataFrame, window: int, tau: int) -> DataFrame:
+    """grid: k, ks_confirm, refractory; crossings with a peak of at least ks_confirm are edges. A row per cell, as in sweep()."""
+    cells = [(r["k"], float(r["ks_confirm"]), 1, r["refractory"]) for r in grid.select("k", "ks_confirm", "refractory").collect()]
+    lows = F.array(*(F.lit(x) for x in sorted({c[1] for c in cells})))
+    edges = events.filter("kind = 'crossing'").select(F.explode(F.filter(lows, lambda x: x <= F.col("ks"))).alias("low"), "feature_id", "pos")
+    return _cells(edges, events.filter("kind = 'look'"), cells, drifts, window, tau)
