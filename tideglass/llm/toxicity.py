@@ -7,7 +7,7 @@ which cost more. A text is cut into windows of WINDOW words; a window gains the
 one, if they are at least `least`, and loses `drift`. The run of windows with the largest sum counts, so that ordinary text around a passage
 does not. Long ordinary texts have such runs by chance: of n windows, one of a sum over x with a chance of about n * exp(-rate * x). The
 distance is rate * x - log(n), so it does not grow with the length of ordinary text. Distances of labelled texts under dictionaries that did
-not see them calibrate `least`, `drift`, `rate` and a logistic curve from distance to score.
+not see them calibrate `least`, `drift`, `rate` and a logistic curve, with a step above 0, from distance to score.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import itertools
 import math
 import re
 import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -36,9 +37,9 @@ WINDOW = 16
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 4000, 32_768
 #: Most words of a dictionary's own runs, and the number of common words that the shared runs hold.
 OWN_WORDS, COMMON_WORDS = 4096, 4096
-#: A word sets a kind apart if it stands in at least MIN_PLACES places (texts, and after different runs of CONTEXT words), and its share there is RATIO times
-#: the other kind's. Its weight is that ratio's logarithm; each common word between such words takes GAP from a run's sum of weights.
-MIN_PLACES, RATIO, GAP, CONTEXT = 3, 20.0, 2.0, 8
+#: A word sets a kind apart if it stands in at least MIN_PLACES texts, and a share of MIN_SHARE of them, that are no copies (told by runs of CONTEXT words),
+#: and its share there is RATIO times the other kind's. Its weight is that ratio's logarithm; each common word between such words takes GAP from a run's sum of weights.
+MIN_PLACES, MIN_SHARE, RATIO, GAP, CONTEXT = 4, 0.01, 20.0, 2.0, 5
 REJECT = 0.7
 #: Bytes that a window without savings may lose in a run, of which calibration takes one.
 DRIFTS = (0.125, 0.25, 0.5, 1.0)
@@ -68,6 +69,7 @@ class Model:
     rate: float = 1.0
     bias: float = -20.0
     slope: float = 0.0
+    step: float = 0.0
 
     def __post_init__(self) -> None:
         self._pair = None
@@ -95,30 +97,28 @@ class Model:
         return max(0.0, self.rate * best - math.log(max(1, len(savings))))
 
     def score(self, distance: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(distance)))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slope * math.log1p(distance) + self.step * (distance > 0)))))
 
 
-def _places(texts: list[list[str]], after: bool) -> Counter:
-    """In how many places each word stands: the texts that have it or, if these are fewer and `after`, the runs of CONTEXT words that it follows,
-    so that a passage which texts share is one place. Copies of a text count once."""
+def _places(texts: list[list[str]]) -> Counter:
+    """In how many texts each word stands. A text of whose runs of CONTEXT words (an eighth of them, by hash) half stand in earlier ones is a copy of
+    theirs, and does not count."""
     docs: Counter = Counter()
-    follows: Counter = Counter()
     seen: set[int] = set()
-    for ws in {tuple(t) for t in texts}:
-        docs.update(set(ws))
-        for i, w in enumerate(ws) if after else ():
-            k = hash((w, *ws[max(0, i - CONTEXT) : i]))
-            if k not in seen:
-                seen.add(k)
-                follows[w] += 1
-    return Counter({w: min(n, follows[w]) for w, n in docs.items()}) if after else docs
+    for ws in texts:
+        runs = {zlib.crc32(" ".join(ws[i : i + CONTEXT]).encode()) for i in range(max(1, len(ws) - CONTEXT + 1))}
+        some = {r for r in runs if r % 8 == 0} or runs
+        if 2 * len(some & seen) < len(some):
+            docs.update(set(ws))
+        seen |= some
+    return docs
 
 
 def _weights(own: list[list[str]], other: list[list[str]]) -> dict[str, float]:
     """The words that set `own` apart from `other`, with the logarithm of how much more frequent they are there."""
-    a, b = _places(own, True), _places(other, False)
+    a, b = _places(own), _places(other)
     n_own, n_other = max(1, len(own)), max(1, len(other))
-    ratio = {w: (n / n_own) / ((b[w] + 0.5) / n_other) for w, n in a.items() if n >= MIN_PLACES}
+    ratio = {w: (n / n_own) / ((b[w] + 0.5) / n_other) for w, n in a.items() if n >= max(MIN_PLACES, MIN_SHARE * n_own)}
     return {w: math.log(r) for w, r in ratio.items() if r > RATIO}
 
 
@@ -198,17 +198,24 @@ def dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[byt
     return tuple(bytes(8) + code(runs) + both + bytes(8) for runs in own)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """(bias, slope, weighted log loss) by Newton's method, slightly regularised."""
-    X, beta, ridge = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2), np.diag([1e-3, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-        step = np.linalg.solve((X * (weight * p * (1 - p))[:, None]).T @ X + ridge, X.T @ (weight * (y - p)) - ridge @ beta)
-        beta = beta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+def _logistic(distance: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float, float]:
+    """(bias, slope, step, weighted log loss) of a curve in log(1 + distance) with a step at distances over 0, by Newton's method, slightly
+    regularised. The step is left out if it would go down."""
+    best = None
+    for columns in ((np.log1p(distance), distance > 0), (np.log1p(distance),)):
+        X = np.stack([np.ones(len(distance)), *columns], axis=1)
+        beta, ridge = np.zeros(X.shape[1]), np.diag([1e-3] + [1e-2] * len(columns))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
+            step = np.linalg.solve((X * (weight * p * (1 - p))[:, None]).T @ X + ridge, X.T @ (weight * (y - p)) - ridge @ beta)
+            beta = beta + np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-6:
+                break
+        p = np.clip(1 / (1 + np.exp(-np.clip(X @ beta, -30, 30))), 1e-9, 1 - 1e-9)
+        best = (*map(float, beta), *([0.0] * (3 - len(beta))), float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()))
+        if min(beta[1:]) >= 0:
             break
-    p = np.clip(1 / (1 + np.exp(-np.clip(X @ beta, -30, 30))), 1e-9, 1 - 1e-9)
-    return float(beta[0]), float(beta[1]), float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+    return best
 
 
 def _rate(savings: list[list[int]], least: int, drift: float) -> float:
@@ -249,11 +256,11 @@ def fit(toxic: list[str], ordinary: list[str], n_toxic: int | None = None, n_ord
     best = None
     for least, drift in itertools.product(range(2, 9), DRIFTS):
         half = Model(b"", b"", least, drift, _rate([s for s, label in zip(saved, y) if not label], least, drift))
-        x = np.array([math.log1p(half.distance(s)) for s in saved])
-        bias, slope, loss = _logistic(x, target, weight)
-        if slope > 0 and (best is None or loss < best[0] - 1e-9):
-            best = (loss, least, drift, half.rate, bias, slope)
-    _, *calibrated = best or (0, 4, 0.25, 1.0, -20.0, 0.0)
+        x = np.array([half.distance(s) for s in saved])
+        bias, slope, step, loss = _logistic(x, target, weight)
+        if slope >= 0 and slope + step > 0 and (best is None or loss < best[0] - 1e-9):
+            best = (loss, least, drift, half.rate, bias, slope, step)
+    _, *calibrated = best or (0, 4, 0.25, 1.0, -20.0, 0.0, 0.0)
     return Model(*dictionaries(kinds[1], kinds[0]), *calibrated)
 
 
