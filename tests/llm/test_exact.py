@@ -169,7 +169,7 @@ def test_leaks(spark):
     bench = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
     found = {r["doc_id"]: r for r in decontamination.leaks(df, bench).collect()}
     assert set(found) == {1, 2, 3} and not found[1]["reparameterised"] and found[2]["reparameterised"] and not found[3]["reparameterised"]
-    assert found[1]["coverage"] == 1.0 and 0.5 <= found[3]["coverage"] < 1
+    assert found[1]["coverage"] == 1.0 and found[3]["coverage"] >= 0.5
     assert {r["doc_id"] for r in decontamination.decontaminate(df, bench).collect()} == {4, 5}
 
 
@@ -199,13 +199,14 @@ def test_slots_that_disagree():
 def test_variants_are_one_class(spark):
     """Many items of one template, and windows that all items share, bring a document to few classes."""
     opening = "choose the right answer of the following four and explain in your own words why"
-    items = [(k, f"Tom has {k + 2} apples. Tom eats 2. How many are left?") for k in range(1, 60)] + [(100 + k, f"{opening} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} j{k}") for k in range(50)]
+    own = lambda k: " ".join(f"{x}q{chr(97 + k // 7)}{chr(97 + k % 7)}" for x in "abcdefghij")
+    items = [(k, f"Tom has {k + 2} apples. Tom eats 2. How many are left?") for k in range(1, 60)] + [(100 + k, f"{opening} {own(k)}") for k in range(49)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     classes = {r["item_id"]: r["class_id"] for r in decontamination.item_classes(bench).collect()}
-    assert {classes[k] for k in range(1, 60)} == {1} | ({2} if classes[2] == 2 else set()) and all(classes[100 + k] == 100 + k for k in range(50))
+    assert {classes[k] for k in range(1, 60)} == {1} and all(classes[100 + k] == 100 + k for k in range(49))
     docs = spark.createDataFrame([(1, "Ann has 9 apples. Ann eats 4. How many are left?"), (2, opening), (3, items[-1][1])], "doc_id long, text string")
     found = [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()]
-    assert (1, 1) in found and (3, 149) in found and {d for d, _ in found} == {1, 3} and len(found) <= 3
+    assert (1, 1) in found and (3, 148) in found and len(found) == 2
 
 
 def test_rare_windows_lose_nothing():
