@@ -344,8 +344,12 @@ def rte7(spark, sf):
 
 @register("SC1_math", "SELECT event_id, round(ln(value), 6) AS l, round(sqrt(value), 6) AS s, round(power(value, 0.5::DOUBLE), 6) AS p, abs(value - 100) AS a, least(value, 100::DOUBLE) AS lo, greatest(value, 100::DOUBLE) AS hi, CAST(ceil(value) AS BIGINT) AS c FROM events")
 def sc1(spark, sf):
+    """Logarithms, roots and powers are rounded; the rest stays as it is. The logarithm of 0 is minus infinity and that of less no number, as in SQL (Spark: null)."""
     v = F.col("value")
-    return rounded(table(spark, sf, "events").select("event_id", F.ln(v).alias("l"), F.sqrt(v).alias("s"), F.pow(v, F.lit(0.5)).alias("p"), F.abs(v - 100).alias("a"), F.least(v, F.lit(100.0)).alias("lo"), F.greatest(v, F.lit(100.0)).alias("hi"), F.ceil(v).alias("c")))
+    ln = F.when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan"))).otherwise(F.ln(v))
+    inexact = {"l": ln, "s": F.sqrt(v), "p": F.pow(v, F.lit(0.5))}
+    exact = {"a": F.abs(v - 100), "lo": F.least(v, F.lit(100.0)), "hi": F.greatest(v, F.lit(100.0)), "c": F.ceil(v)}
+    return table(spark, sf, "events").select("event_id", *(F.round(x, 6).alias(k) for k, x in inexact.items()), *(x.alias(k) for k, x in exact.items()))
 
 
 @register("SC2_ks_threshold", "SELECT DISTINCT CAST(w AS INTEGER) AS w, round(sqrt(-0.5::DOUBLE * ln(0.001::DOUBLE)) * sqrt(2.0::DOUBLE / w), 9) AS thr FROM (SELECT 30 + user_id AS w FROM events)")
