@@ -150,3 +150,20 @@ def test_replay_runs_are_independent(spark):
     two = df.withColumn("run", F.lit("a")).unionByName(df.withColumn("run", F.lit("b")))
     n = {(r["run"], r["kind"]): r["count"] for r in replay(two, PIPE, 100, "run").groupBy("run", "kind").count().collect()}
     assert {k: v for (r, k), v in n.items() if r == "a"} == {k: v for (r, k), v in n.items() if r == "b"} and n["a", "score"] == 1000
+
+
+def test_abort_inside_an_epoch(spark, tmp_path):
+    """A cooldown that would end before the next epoch is given up in time, whoever's row comes then."""
+    p = config(forest=ForestConfig(8, 64, 2), ring_size=50, cooldown_samples=80, cooldown_timeout=100, pause_mode=PauseMode.BACKLOG_THEN_NEW_FOREST)
+    pipe = PipelineConfig(processor=p, detector="hddm_w", hddm=PIPE.hddm, quorum=PIPE.quorum)
+    out = run_loop(stream_rows(), [i % 2 for i in range(3000)], pipe, 1000, [(1, 900)])
+    assert sorted(e["seq"] for e in out if e["kind"] == "score") == list(range(3000))
+    assert {e["version"] for e in out if e["kind"] == "score"} == {1} and not [e for e in out if e["kind"] == "tree" and e["round_id"]]
+
+    loop = EpochLoop(spark, str(tmp_path), pipe)
+    df = spark.createDataFrame(stream_rows(), SCHEMA)
+    loop(df.filter("seq < 1500"), 0)
+    loop(df.filter("seq BETWEEN 1500 AND 1999"), 1)
+    loop(df.filter("seq BETWEEN 2000 AND 2400"), 2)
+    assert loop._control(1)["round_id"]
+    assert {r["seq"] for r in loop.scores().select("seq").collect()} == set(range(2401)) and {r["version"] for r in loop.scores().collect()} == {1}

@@ -58,6 +58,7 @@ def run_loop(rows: list[tuple], shards: list[int], config: PipelineConfig, epoch
             if control.scorer is not None:
                 end = next((j for j in range(i, len(rows)) if rows[j][0] // epoch != now), len(rows))
                 scores, start_at = control.scorer(x[i:end]), i
+        if p.cooldown_timeout is not None:  # between epochs too: a timer does not wait for one
             for m in machines:
                 take(m.expire(r[0], control), r[0])
         while given and given[0][1] <= r[0]:

@@ -108,6 +108,8 @@ class EpochLoop:
         if current:
             control = Control(current[0], Scorer(current[1]["trees"], current[1]["subsample"]), before["round_id"])
         seen = self.spark.sparkContext.broadcast(control)
+        # Rows of other shards move a shard's timer too.
+        latest = batch.agg(F.max("seq")).first()[0] if cfg.processor.cooldown_timeout is not None else None
 
         def features(k, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
             d = pickle.loads(state["state"].iloc[0]) if len(state) else make_detector(cfg.detector, cfg.iks, cfg.hddm)
@@ -124,9 +126,12 @@ class EpochLoop:
             rows = rows.sort_values("seq")
             data = list(zip(rows["seq"].tolist(), rows["id"].tolist(), rows["timestamp"].tolist(), rows["features"].tolist(), rows["label"].tolist()))
             scores = c.scorer(np.array([r[3] for r in data], dtype=float)).tolist() if c.scorer and data else [None] * len(data)
-            events = m.expire(data[0][0], c) if data else []
+            events = []
             for r, s in zip(data, scores):
+                events += m.expire(r[0], c)
                 events += m.step(r, c, s, r[2])
+            if latest is not None:
+                events += m.expire(latest, c)
             out = [("score", m.number, e[1][0], e[1][1], e[1][4], e[2], e[3], e[4], None, None, None) if e[0] == "score" else ("tree", m.number, None, None, None, None, None, None, e[3], json.dumps(e[1:]), None) for e in events]
             frame = pd.DataFrame([*out, ("state", m.number, None, None, None, None, None, None, None, None, pickle.dumps(m))], columns=["kind", "shard", "seq", "id", "label", "score", "version", "phase", "slot", "message", "state"])
             return frame.astype({"seq": "Int64", "label": "Int64", "version": "Int64", "slot": "Int64", "score": "float64"})
