@@ -36,7 +36,7 @@ WORDS = 0.6
 #: Benchmarks of up to so many windows travel to the workers (8 bytes each, and their words), which then emit only windows that the
 #: benchmark has; with larger ones the workers emit every window of documents to the join.
 BROADCAST_WINDOWS = 2_000_000
-#: Most words of the benchmark that travel to the workers; of more, none do.
+#: Most words of the benchmark that travel to the workers; of more, none do, and texts get the plain words that they need by a join.
 BROADCAST_WORDS = 1_000_000
 #: Most distinct documents with leaks whose keys are broadcast to drop them.
 BROADCAST_KEYS = 2_000_000
@@ -55,6 +55,13 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 END, MASK, KEEP = 5, 2**64 - 1, 400_000
 
 
+class Every:
+    """Holds all words."""
+
+    def __contains__(self, word: str) -> bool:
+        return True
+
+
 class Codes(dict):
     """Code of a token: of a placeholder (1 to 3); of a word, a hash with 8 as its last four bits; of a capitalised word that `plain` has, the
     same with 12; END of a sentence's end; and 0 (or 12) of a word that `known` lacks."""
@@ -81,8 +88,8 @@ class Codes(dict):
         return code
 
 
-def template(text: str | None, codes: Codes) -> tuple[list[str], np.ndarray]:
-    """(tokens, codes). A capitalised word is a name; at the start of a sentence only if it is none of the codes' plain words."""
+def _coded(text: str | None, codes: Codes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(tokens, codes, whether a sentence starts there), without the ends of sentences."""
     tokens = TOKEN.findall(text or "")
     c = np.fromiter(map(codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     ends = c == END
@@ -91,7 +98,25 @@ def template(text: str | None, codes: Codes) -> tuple[list[str], np.ndarray]:
         tokens, c = list(itertools.compress(tokens, (~ends).tolist())), c[~ends]
     else:
         after = np.arange(len(c)) == 0
+    return tokens, c, after
+
+
+def openings(text: str | None, codes: Codes) -> list[str]:
+    """The capitalised words that open sentences, lower-cased, without OPENERS. codes: of Every plain word."""
+    tokens, c, after = _coded(text, codes)
+    found = {tokens[i].lower() for i in np.flatnonzero(after & ((c & np.uint64(15)) == 12)).tolist()}
+    return sorted(found - OPENERS)
+
+
+def template(text: str | None, codes: Codes, own: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """(tokens, codes). A capitalised word is a name; at the start of a sentence only if it is none of the codes' plain words, or, for codes
+    of Every plain word, neither one of OPENERS nor of the text's `own`."""
+    tokens, c, after = _coded(text, codes)
     either = (c & np.uint64(15)) == 12
+    if own is not None:
+        plain = OPENERS.union(own)
+        c[[i for i in np.flatnonzero(either & after).tolist() if tokens[i].lower() not in plain]] = NAME
+        either = (c & np.uint64(15)) == 12
     c = np.where(either, np.where(after, np.where(c > 15, c ^ np.uint64(4), np.uint64(0)), NAME), c)
     for i in (np.flatnonzero(c[:-1] == NUM) + 1).tolist():
         if tokens[i].lower() in UNITS:
@@ -124,11 +149,36 @@ def pattern(values: list[str]) -> list[int]:
     return [first.setdefault(v, k) for k, v in enumerate(values)]
 
 
-def plain_words(benchmark: DataFrame, text_col: str) -> frozenset[str]:
-    """OPENERS and the words that the benchmark has in lower case. Of a benchmark with more than BROADCAST_WORDS such words, OPENERS alone."""
-    low = benchmark.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"(?<![\p{L}])\p{Ll}+(?![\p{L}])"), F.lit(0)))).alias("w")).distinct()
-    got = low.limit(BROADCAST_WORDS + 1).collect()
-    return OPENERS | ({r["w"] for r in got} if len(got) <= BROADCAST_WORDS else frozenset())
+def lower_words(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """w: the words that the benchmark has in lower case."""
+    return benchmark.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"(?<![\p{L}])\p{Ll}+(?![\p{L}])"), F.lit(0)))).alias("w")).distinct()
+
+
+def plain_words(benchmark: DataFrame, text_col: str) -> frozenset[str] | Every:
+    """OPENERS and the words that the benchmark has in lower case. Of a benchmark with more than BROADCAST_WORDS such words, Every word: there
+    with_own tells each text which of the words that open its sentences the benchmark has."""
+    got = lower_words(benchmark, text_col).limit(BROADCAST_WORDS + 1).collect()
+    return OPENERS.union(r["w"] for r in got) if len(got) <= BROADCAST_WORDS else Every()
+
+
+def with_own(rows: DataFrame, benchmark: DataFrame, item_text: str, plain) -> DataFrame:
+    """rows (_key: hash of _id and _text, _id, _text) with _own: null where plain words travel to the workers, else the words that
+    open sentences of the text and that the benchmark has in lower case."""
+    if not isinstance(plain.value, Every):
+        return rows.withColumn("_own", F.lit(None).cast("array<string>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(plain=Every())
+        for batch in batches:
+            pairs = [(k, w) for k, t in zip(batch.column(0).to_pylist(), batch.column(1)) for w in openings(t.as_py(), codes)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.string())], ["_key", "w"])
+
+    opened = checkpoint(rows.select("_key", "_text").mapInArrow(trimmed(run), "_key long, w string").distinct())
+    # Words that open a sentence of any text, one row each: no word is as frequent as its texts on either side.
+    shared = checkpoint(opened.select("w").distinct().join(lower_words(benchmark, item_text), "w", "left_semi"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_WORDS else shared
+    own = opened.join(shared, "w", "left_semi").groupBy("_key").agg(F.collect_list("w").alias("_own"))
+    return rows.join(own, "_key", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>")))
 
 
 ITEMS = "item_id long, class long, words array<string>, windows array<struct<hash:long,item_at:long,item_fills:array<string>>>, size int"
@@ -143,8 +193,8 @@ def item_templates(benchmark: DataFrame, plain, id_col: str, text_col: str) -> D
         codes = Codes(plain=plain.value)
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens, c = template(t.as_py(), codes)
+            for i, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                tokens, c = template(t.as_py(), codes, own)
                 size = min(WINDOW, len(tokens))
                 at, h = windows(c, size) if size >= LEAST_TOKENS else ([], [])
                 if len(at):
@@ -153,11 +203,12 @@ def item_templates(benchmark: DataFrame, plain, id_col: str, text_col: str) -> D
                     rows.append((i, xxhash.xxh64_intdigest(name) - 2**63, sorted({w.lower() for w, x in zip(tokens, c.tolist()) if x > 3}), found, size))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
-    return benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(trimmed(run), ITEMS)
+    rows = benchmark.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return with_own(rows, benchmark, text_col, plain).select("_id", "_text", "_own").mapInArrow(trimmed(run), ITEMS)
 
 
-def document_windows(docs: DataFrame, items: DataFrame, plain, id_col: str, text_col: str) -> DataFrame:
-    """_key, doc_id, doc_at, hash, doc_fills of the documents' windows that the benchmark may have."""
+def document_windows(docs: DataFrame, items: DataFrame, benchmark: DataFrame, item_text: str, plain, id_col: str, text_col: str) -> DataFrame:
+    """_key, doc_id, doc_at, hash, doc_fills of the documents' windows that the benchmark may have. items: item_templates of the benchmark."""
     sc = docs.sparkSession.sparkContext
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
     hashes = words = None
@@ -172,8 +223,8 @@ def document_windows(docs: DataFrame, items: DataFrame, plain, id_col: str, text
         wanted = np.sort(hashes.value) if hashes else None
         for batch in batches:
             out = [[], [], [], [], []]
-            for key, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                tokens, c = template(t.as_py(), codes)
+            for key, i, t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                tokens, c = template(t.as_py(), codes, own)
                 for size in sizes:
                     at, h = windows(c, size)
                     if wanted is not None and len(h):
@@ -185,8 +236,8 @@ def document_windows(docs: DataFrame, items: DataFrame, plain, id_col: str, text
                             column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["_key", "doc_id", "doc_at", "hash", "doc_fills"])
 
-    rows = docs.select(F.xxhash64(id_col, text_col), F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(trimmed(run), "_key long, doc_id long, doc_at long, hash long, doc_fills array<string>")
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return with_own(rows, benchmark, item_text, plain).select("_key", "_id", "_text", "_own").mapInArrow(trimmed(run), "_key long, doc_id long, doc_at long, hash long, doc_fills array<string>")
 
 
 def matches(aligned: list[tuple[int, list[str], list[str]]]) -> tuple[list[int], int]:
@@ -236,7 +287,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_
     """
     plain = docs.sparkSession.sparkContext.broadcast(plain_words(benchmark, item_text))
     items = checkpoint(item_templates(benchmark, plain, item_col, item_text))
-    found = checkpoint(document_windows(docs, items, plain, id_col, text_col).distinct())
+    found = checkpoint(document_windows(docs, items, benchmark, item_text, plain, id_col, text_col).distinct())
     one = items.groupBy("class").agg(F.min(F.struct("item_id", "windows")).alias("one")).select("one.item_id", F.size("one.windows").cast("long").alias("n_windows"), F.explode("one.windows").alias("w")).select("item_id", "n_windows", "w.*")
     one = checkpoint(one.join(one.groupBy("hash").agg(F.countDistinct("item_id").alias("_classes")), "hash"))
     # A document that lacks so many of an item's rarest windows holds too few of the others.
