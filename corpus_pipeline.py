@@ -20,7 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group linked by sets of five-word shingles with a Jaccard similarity of 0.8 or more,
-    counted on the sets; candidates meet in partitions of signatures, and 18 of the 64 bits of their fingerprints may differ."""
+    counted on the sets. The pigeonhole brings all candidates whose fingerprints differ in up to 4 of 64 bits together; those that differ in up to
+    18 meet in partitions of signatures."""
     return simhash.one_of_each(docs, shingle=5, radius=18, min_similarity=0.8)
 
 

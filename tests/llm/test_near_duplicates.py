@@ -94,3 +94,17 @@ def test_signature_partitions_against_all_pairs(spark):
         for i in range(60):
             for j in range(i):
                 assert any(p == part and {i, j} <= ids for (p, _), ids in got.items()) == bool((sigs[i, a:b] == sigs[j, a:b]).all())
+
+
+@pytest.mark.parametrize("block", [16384, 40])
+def test_pigeonhole_is_certain_whatever_the_signatures(spark, monkeypatch, block):
+    """Fingerprints of sets within SURE bits are linked even where no partition of the signatures agrees."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd, rng = random.Random(8), np.random.default_rng(8)
+    fps = [rnd.getrandbits(63) for _ in range(100)]
+    for x in list(fps):
+        for b in range(1, simhash.SURE + 1):
+            fps.append(x ^ sum(1 << k for k in rnd.sample(range(63), b)))
+    nodes = spark.createDataFrame([(i, x, bytearray(rng.bytes(simhash.PERMUTATIONS))) for i, x in enumerate(fps)], "_id long, _fp long, _sig binary")
+    found = {r["node"]: r["component"] for r in simhash.components(simhash.links(nodes, 18, 0.8)).collect()}
+    assert [found[i] for i in range(500)] == [i if i < 100 else (i - 100) // simhash.SURE for i in range(500)]

@@ -8,8 +8,8 @@ all values within t_i; what meets is verified by its full distance. A meeting pl
 pair of blocks is a task of its own, and a task returns a spanning forest of its links, never all pairs.
 
 Sets of shingles whose Jaccard similarity counts need a radius of 15 and more, at which 64 bits keep little apart: partitions have 4 or 5 bits
-then, and work grows with the square of the rows. There the partitioned bits are those of a longer signature. Its bits go together by
-eights (a place of the signature agrees or differs as a whole), a partition is a run of places that must agree, and the widths of the partitions come
+then, and work grows with the square of the rows. So the pigeonhole brings together all that are within SURE bits, and for those further
+apart the partitioned bits are those of a longer signature. Its bits go together by eights (a place of the signature agrees or differs as a whole), a partition is a run of places that must agree, and the widths of the partitions come
 from dynamic programming over the candidate counts that a sample predicts, for a stated recall. What meets is verified on the sets.
 """
 
@@ -36,6 +36,8 @@ SAMPLE = 2000
 BLOCK = 16384
 #: Cost of emitting one probe row, in verified pairs.
 PROBE_COST = 2000
+#: Radius within which the pigeonhole brings all fingerprints of sets together, whatever their number; beyond it, up to the radius that is asked for, signatures do.
+SURE = 4
 #: Share of the pairs at the least similarity asked for that some partition of the signature must bring together.
 RECALL = 0.98
 #: Most large meeting places (about 24 bytes each) that are broadcast; beyond it, the join that finds them is shuffled.
@@ -320,25 +322,31 @@ def _stars(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def links(nodes: DataFrame, radius: int, min_similarity: float | None = None) -> DataFrame:
     """(u, v): links between nodes (_id, distinct _fp or distinct (_fp, _sig)) enough to connect all that are within radius. Given
-    min_similarity, nodes that agree in all places of a partition of the signature meet, and those link that are within radius and
-    whose signatures agree in a share of places of at least min_similarity less SLACK."""
+    min_similarity, the pigeonhole connects all that are within SURE bits; of those further apart, nodes that agree in all places of a partition of
+    the signature meet, and those link that are within radius and whose signatures agree in a share of places of at least min_similarity less SLACK."""
     sig = min_similarity is not None
     n = nodes.count()
     sample = nodes.select("_fp", *(["_sig"] if sig else [])).orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).collect()
+    sure = min(radius, SURE) if sig else radius
+    p = plan(np.array([r["_fp"] for r in sample], dtype=np.int64).view(np.uint64), n, sure)
+    rows = _probes(nodes, p)
+    found = _met(rows, rows, n * sum(math.comb(len(part), j) for part, t in zip(p.parts, p.thresholds) for j in range(t + 1)), sure)
     if sig:
         ws = widths(np.frombuffer(b"".join(r["_sig"] for r in sample), dtype=np.uint8).reshape(-1, PERMUTATIONS), n, min_similarity)
-        rows, places, probes = _signature_rows(nodes, ws), _signature_rows(nodes, ws, False), len(ws)
-    else:
-        p = plan(np.array([r["_fp"] for r in sample], dtype=np.int64).view(np.uint64), n, radius)
-        rows = places = _probes(nodes, p)
-        probes = sum(math.comb(len(part), j) for part, t in zip(p.parts, p.thresholds) for j in range(t + 1))
+        found = found.union(_met(_signature_rows(nodes, ws), _signature_rows(nodes, ws, False), n * len(ws), radius, max(0.0, min_similarity - SLACK))).distinct()
+    return found
+
+
+def _met(rows: DataFrame, places: DataFrame, n_rows: int, radius: int, similar: float | None = None) -> DataFrame:
+    """(u, v): links within radius of the rows that meet in a place (_part, _key), given `similar` of those whose signatures agree in that share of
+    places. places: the rows without what is not needed to count them."""
+    sig = similar is not None
     # Meeting places that are too large: at most (rows / BLOCK) of them.
     large = checkpoint(places.groupBy("_part", "_key").count().filter(F.col("count") > BLOCK).select("_part", "_key", F.ceil(F.col("count") / BLOCK).cast("int").alias("_blocks")))
-    large = F.broadcast(large) if n * probes <= BROADCAST_PLACES * BLOCK else large
+    large = F.broadcast(large) if n_rows <= BROADCAST_PLACES * BLOCK else large
     rows = rows.join(large, ["_part", "_key"], "left").withColumns({"_blocks": F.coalesce("_blocks", F.lit(1)), "_block": F.pmod(F.xxhash64("_id"), F.coalesce("_blocks", F.lit(1))).cast("int")})
     rows = rows.select("*", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_other")).withColumns({"_a": F.least("_block", "_other"), "_b": F.greatest("_block", "_other")}).drop("_blocks", "_other")
     place = ["_part", "_key", "_a", "_b"]
-    similar = max(0.0, min_similarity - SLACK) if sig else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -480,9 +488,10 @@ def verified(df: DataFrame, nodes: DataFrame, loose: DataFrame, shingle: int, si
 def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, min_similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, fingerprint (16 hex digits), component_id (least id reachable over links) for every row.
 
-    Rows link if their fingerprints differ in at most `radius` bits. Given min_similarity, partitions of signatures of the sets of shingles bring
-    rows together, fingerprints (of the sets) and whole signatures, held against a lower bar, leave candidates, and of these rows link
-    whose sets have at least that Jaccard similarity; a pair at exactly that similarity is a candidate with a chance of about RECALL.
+    Rows link if their fingerprints differ in at most `radius` bits. Given min_similarity, candidates are all rows whose fingerprints (of the sets of
+    shingles) differ in at most SURE bits, by the pigeonhole, and rows that partitions of signatures of the sets bring together and that
+    fingerprints, within `radius`, and whole signatures, held against a lower bar, leave. Of these rows link whose sets have at least that Jaccard
+    similarity; a pair at exactly that similarity is a candidate with a chance of at least about RECALL.
     Equal fingerprints (or sets) are one node from the start, so copies never make pairs. Null and word-less texts have fingerprint 0 and
     link like others (given min_similarity, with each other); repeated ids are told apart by their fingerprints; a null id is in the
     component of its text, and never names it unless all its ids are null. An empty table gives no rows; other columns are ignored.
