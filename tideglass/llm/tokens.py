@@ -31,12 +31,26 @@ GROUP_BYTES = 1 << 13
 #: Latin letters, and what may follow them where a piece ends. Letters' tokens end before ASCII punctuation too.
 LETTER, END = "A-Za-zÀ-ÖØ-öø-ʯ", r"\s!-/:-@\[-`{-~"
 PIECE = re.compile(rf"\s*+[^\s{LETTER}]*+[{LETTER}]++(?![^{END}])|\s*+[^\s{LETTER}]++(?!\S)|\s*\S+|\s+")
+#: A piece that the byte-level pattern leaves whole: the model alone then gives its ids.
+WHOLE = re.compile(rf" ?[{LETTER}]+")
+#: A word (what stands between spaces, a line end before it) of one such piece and ASCII punctuation that begins no special token.
+PLAIN = re.compile(rf"(\n?)([{LETTER}]+)([!-/:-@\[-`{{}}~]*)")
 #: Characters that Python takes for white space and others may not, or that are white space outside ASCII, and what may begin a special
 #: token: there, cut only before ASCII white space.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
 SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 
 
+def _byte_level() -> str:
+    """For each byte the character that stands for it in a byte-level vocabulary: itself if it is printable, else the next from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = itertools.count(0x100)
+    return "".join(chr(b if b in shown else next(others)) for b in range(256))
+
+
+BYTE_LEVEL = _byte_level()
+
+
 def pieces(text: str) -> list[str]:
     return PIECE.findall(text) if ODD.search(text) is None else SAFE.split(text)
 
@@ -61,7 +75,7 @@ def _after_space(word: str) -> list[str]:
 
 
 class _Uneven(Exception):
-    """White space that is not one space between two words."""
+    """White space that is not one space between two words, or what ODD finds."""
 
 
 class _Memo(dict):
@@ -78,41 +92,61 @@ class _Memo(dict):
 
 
 class PieceEncoder:
-    """join([value(ids of a piece), ...]) of texts.
+    """join([value(ids of a piece), ...]) of texts; values can be added.
 
     The first keys that a worker meets stay with it, so the frequent ones do. In a text whose words are parted by single spaces or line ends,
     words are looked up first (all but the text's first with what stands before them); what is not known is cut into pieces, and
-    pieces that are not known are encoded.
+    pieces that are not known are encoded: by the tokenizer's model where its pattern would leave them whole, else by the tokenizer.
     """
 
     def __init__(self, spec: str, value: Callable, join: Callable, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.value, self.join = Tokenizer.from_str(spec), value, join
-        self.safe = safe_boundaries(spec)
+        self.safe, self.model = safe_boundaries(spec), self.tokenizer.model
         self.pieces, self.words = _Memo(self._encode, keep), _Memo(self._word, keep)
 
+    def _whole(self, piece: str):
+        """Of a piece that is one token of the tokenizer's pattern."""
+        if piece.isascii():
+            shown = BYTE_LEVEL[32] + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode().decode("latin-1").translate(BYTE_LEVEL)
+        value = self.value([t.id for t in self.model.tokenize(shown)])
+        if len(self.pieces) < self.pieces.keep and len(piece) <= KEEP_CHARS:
+            self.pieces[piece] = value
+        return value
+
     def _encode(self, piece: str):
+        if self.safe and WHOLE.fullmatch(piece):
+            return self._whole(piece)
         return self.value(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def _word(self, word: str):
-        if not _even(word):
+        if plain := PLAIN.fullmatch(word):
+            line, letters, marks = plain.groups()
+            piece = letters if line else " " + letters
+            value = self.pieces.get(piece)
+            if value is None:
+                value = self._whole(piece)
+            if line:
+                value = self.pieces["\n"] + value
+            return value + self.pieces[marks] if marks else value
+        if not _even(word) or ODD.search(word):
             raise _Uneven
         return self.join(map(self.pieces.__getitem__, _after_space(word)))
 
     def __call__(self, text: str):
         if not self.safe:
             return self._encode(text)
-        if ODD.search(text) is None:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            if first and not first[-1].isspace():
-                try:
-                    words = list(map(self.words.__getitem__, rest))
-                    return self.join([*map(self.pieces.__getitem__, PIECE.findall(first)), *words])
-                except _Uneven:
-                    pass
-            return self.join(map(self.pieces.__getitem__, PIECE.findall(text)))
-        return self.join(map(self.pieces.__getitem__, SAFE.split(text)))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if first and not first[-1].isspace() and ODD.search(first) is None:
+            try:
+                words = list(map(self.words.__getitem__, rest))
+                return self.join([*map(self.pieces.__getitem__, PIECE.findall(first)), *words])
+            except _Uneven:
+                pass
+        return self.join(map(self.pieces.__getitem__, pieces(text)))
 
 
 _encoders: dict = {}
@@ -126,9 +160,12 @@ def encoder(key: str, spec: str, value: Callable, join: Callable) -> PieceEncode
     return _encoders[key, value]
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def as_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class BatchCounter:
