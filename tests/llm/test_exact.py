@@ -523,3 +523,30 @@ def test_equal_rows_of_a_store(spark, tmp_path):
     assert len(got) == len(rows) and [d for _, _, d in got] == sorted(d for d, _ in rows)
     assert [s for s, _, _ in got] == np.concatenate([[0], np.cumsum([n for _, n, _ in got])[:-1]]).tolist()
     assert spark.read.parquet(path).select("part").distinct().count() > 1
+
+
+def test_small_ranges_of_a_store_share_files(spark, tmp_path):
+    """Many small ranges make few files, of the store and of what is read back, and lose no row and no order."""
+    texts = {k: f"text {k} of a small range" * (k % 7) for k in range(3000)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents"))
+    df, path, most = spark.read.parquet(str(tmp_path / "documents")), str(tmp_path / "store"), token_store.FEW * spark.sparkContext.defaultParallelism
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64k", "spark.sql.files.maxPartitionBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        token_store.write_tokens(df, path, PATH)
+        assert len(list((tmp_path / "store").glob("part-*"))) <= most
+        assert spark.read.parquet(path).select("part").distinct().count() > most
+        out = token_store.stored_tokens(df, PATH)
+        assert out.rdd.getNumPartitions() <= most
+        read = [sorted(tuple(r) for r in rows.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) for rows in (token_store.read_tokens(spark, path), out)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    t, want, start = Tokenizer.from_file(PATH), [], 0
+    for k, x in texts.items():
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 2], dtype="<u4")
+        want.append((k, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert read == [want, want]

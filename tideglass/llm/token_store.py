@@ -3,7 +3,7 @@
 A store is a Parquet folder with one row per chunk. A chunk holds whole documents; its ids, little-endian unsigned 32-bit, are cut into
 blocks of BLOCK ids, each block is transposed into four byte planes (or 32 bit planes), and every plane is compressed with zstandard by
 itself. The chunk's index: the ids before it in its part, the documents' ids and lengths, and each compressed plane's length (0: a plane
-of zeros). Parts follow the order of document ids, chunks the order in their part.
+of zeros). Parts follow the order of document ids, chunks the order in their part. A file may hold several parts, in any order.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ BLOCK = 1 << 16
 #: A chunk is closed once it has so many ids; a document is never divided.
 CHUNK_IDS = 1 << 18
 LEVEL = 3
+#: Small ranges share a task and its files, as long as there are FEW tasks for each core or one for so many bytes of the input.
+FEW, FILE_BYTES = 2, 8 << 20
 SCHEMA = "part int, chunk int, first long, n_ids long, doc_ids array<long>, doc_sizes array<long>, planes_per_block int, plane_sizes array<int>, payload binary"
 
 
@@ -76,15 +77,15 @@ def decode_chunk(payload: bytes, sizes: list[int], n_ids: int, planes_per_block:
 def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes a store of df's texts, ascending by id (null ids first; equal ids by their texts' checksum), each text's ids followed by
     end_id. Null texts have the end id alone; an empty table makes an empty store. Rows are dealt by ranges of (id, checksum,
-    partition that they came in), so a repeated id is spread, and so are equal rows, and every range is encoded in order, one chunk in memory at a time. A lost task is run again; the folder appears
-    as a whole.
+    partition that they came in), so a repeated id is spread, and so are equal rows, and every range is a part: sorted by itself and encoded in order, one chunk in memory at a time. A lost task is run
+    again; the folder appears as a whole.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokens.bytes_encoder(tokenizer_path, spec.value), tokens.as_bytes([end_id])
-        part, chunk, first, docs, held, n_held = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        part, chunk, first, docs, held, n_held = None, 0, 0, [], [], 0
 
         def row():
             payload, sizes = encode_chunk(np.frombuffer(b"".join(held), dtype="<u4"), bits)
@@ -92,7 +93,11 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, ARROW)], names=[f.name for f in ARROW_SCHEMA])
 
         for batch in tokens.by_bytes(batches, "text"):
-            for d, t in zip(batch.column("id").to_pylist(), batch.column("text")):
+            for p, d, t in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
+                if p != part:
+                    if docs:
+                        yield row()
+                    part, chunk, first, docs, held, n_held = p, 0, 0, [], [], 0
                 data = encode(t.as_py()) + end
                 docs.append((d, len(data) // 4))
                 held.append(data)
@@ -106,7 +111,19 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     key = F.crc32(F.col("text").cast("binary"))
     ranged = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange("id", key, "_from").sortWithinPartitions("id", key)
-    ranged.select("id", "text").mapInArrow(trimmed(run), SCHEMA).write.parquet(path)
+    parts = ranged.select(F.spark_partition_id().alias("part"), "id", "text")
+    in_few_tasks(parts, df).mapInArrow(trimmed(run), SCHEMA).write.parquet(path)
+
+
+def in_few_tasks(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df with small partitions put together, unmoved, by the size that Spark estimates for source; a large one's stay as they are.
+
+    Each task writes files of its own, and a local file system without Hadoop's native library starts a process for every file and folder.
+    """
+    spark = df.sparkSession
+    size = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    n = max(FEW * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    return df.coalesce(n) if n < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("planes_per_block", pa.int32()), ("plane_sizes", pa.list_(pa.int32())), ("payload", pa.binary())])
@@ -131,7 +148,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, id_col:
 
     more = ", ids array<long>" if with_ids else ""
     docs = store.select("part", "first", "n_ids", "doc_ids", "doc_sizes", "planes_per_block", "plane_sizes", "payload").mapInArrow(trimmed(run), f"part int, doc_id long, at long, n_tokens long, ids_crc32 long{more}")
-    # One row per part, and there are as many parts as the writer had tasks.
+    # One row per part, and there are as many parts as the writer had ranges.
     sums = store.groupBy("part").agg(F.sum("n_ids").alias("n"))
     offsets = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
     return docs.join(offsets, "part").select(F.col("doc_id").alias(id_col), (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
@@ -153,6 +170,6 @@ def stored_tokens(df: DataFrame, tokenizer_path: str, end_id: int = 2, bits: boo
     spark, path = df.sparkSession, shared_path(df.sparkSession, "token-store")
     try:
         write_tokens(df, path, tokenizer_path, end_id, bits)
-        return checkpoint(read_tokens(spark, path))
+        return checkpoint(in_few_tasks(read_tokens(spark, path), df))
     finally:
         delete(spark, path)
