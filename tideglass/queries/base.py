@@ -23,6 +23,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def sql_round(c, digits: int = 6):
+    """A double rounded as the oracle's SQL does it: times 10^digits, halves of that product away from zero, divided again; what overflows stays as
+    it is. Spark's round goes by the shortest decimal form instead, which at halves and in large numbers gives another last digit, and drops the sign of -0."""
+    scale = 10.0**digits
+    y = F.abs(c) * scale
+    below = F.floor(y).cast("double")
+    # From 2^52 on doubles are whole.
+    r = F.when(y < 2.0**52, F.when(y - below >= 0.5, below + 1.0).otherwise(below)).otherwise(y) / scale
+    return F.when(y == float("inf"), c).otherwise(r * F.signum(c))
+
+
 #: Added to means before they are rounded: values have two decimals, so a mean can lie halfway between two rounded numbers, where the last
 #: bit decides.
 OFF = 3.1e-8

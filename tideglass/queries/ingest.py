@@ -11,7 +11,7 @@ from tideglass import schemas
 from tideglass.functions import parse_exp_id, parse_extra
 from tideglass.operators import routing
 from tideglass.plans import expand
-from tideglass.queries.base import FV, PT, Registry, points, rounded, table, values
+from tideglass.queries.base import FV, PT, Registry, points, rounded, sql_round, table, values
 from tideglass.queries.models import HASH
 from tideglass.sources import sinks, synthetic, text
 
@@ -349,7 +349,7 @@ def sc1(spark, sf):
     ln = F.when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan"))).otherwise(F.ln(v))
     inexact = {"l": ln, "s": F.sqrt(v), "p": F.pow(v, F.lit(0.5))}
     exact = {"a": F.abs(v - 100), "lo": F.least(v, F.lit(100.0)), "hi": F.greatest(v, F.lit(100.0)), "c": F.ceil(v)}
-    return table(spark, sf, "events").select("event_id", *(F.round(x, 6).alias(k) for k, x in inexact.items()), *(x.alias(k) for k, x in exact.items()))
+    return table(spark, sf, "events").select("event_id", *(sql_round(x).alias(k) for k, x in inexact.items()), *(x.alias(k) for k, x in exact.items()))
 
 
 @register("SC2_ks_threshold", "SELECT DISTINCT CAST(w AS INTEGER) AS w, round(sqrt(-0.5::DOUBLE * ln(0.001::DOUBLE)) * sqrt(2.0::DOUBLE / w), 9) AS thr FROM (SELECT 30 + user_id AS w FROM events)")
